@@ -15,8 +15,22 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.substring_dedup import remove_repeated_windows
+
+    return remove_repeated_windows(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.embedding_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
