@@ -15,6 +15,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwood.llm.substring_dedup import remove_repeated_windows
 
@@ -27,10 +33,18 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.sharding import shard_documents
+
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_mix_sources": op2_mix_sources,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_shard": op10_shard,
 }
 
 ORACLES: dict[str, str] = {}
