@@ -109,6 +109,11 @@ def with_roots(components: DataFrame) -> DataFrame:
     return components.unionByName(components.selectExpr("component AS node", "component").distinct())
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Marks a side of a join whose size grows with the data: it is never broadcast, so the plan is the same at every size."""
+    return df.hint("merge")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Consecutive rows with equal keys of a partition sorted by them; one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siftwood.llm import kernel
 from siftwood.llm.blocks import block_units, candidate_pairs, dealt, forest, leaders_of
-from siftwood.llm.common import Scratch, connected_components, groups, min_spread, with_roots
+from siftwood.llm.common import Scratch, connected_components, groups, min_spread, shuffled, with_roots
 
 GRAM, THRESHOLD, BANDS, ROWS, STEP = 5, 0.8, 32, 4, 16
 HASHES = BANDS * ROWS
@@ -251,7 +251,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = scratch.write(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("keys").alias("keys")), "classes")
     buckets = classes.where("id IS NOT NULL").select("id", F.explode("keys").alias("key"))
     led = scratch.write(leaders_of(buckets).join(classes.select("id", "h1", "h2", "copies", "n"), "id"), "led")
-    items = led.join(d.withColumnRenamed("doc_id", "id"), "id").select("id", "leaders", "copies", "h1", "h2", "text").mapInArrow(_sets(gram), "id long, leaders array<long>, copies long, sig binary, grams binary")
+    items = shuffled(led).join(d.withColumnRenamed("doc_id", "id"), "id").select("id", "leaders", "copies", "h1", "h2", "text").mapInArrow(_sets(gram), "id long, leaders array<long>, copies long, sig binary, grams binary")
     units = dealt(block_units(items, led.select("id", "leaders", F.col("n").alias("cost")), BLOCK_ROWS, BLOCK_GRAMS), parts)
     judged = units.mapInArrow(_judge(threshold, tolerance), "id long, classes long, links long, low long")
     found = scratch.write(judged, "found")
