@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siftwood.llm import kernel
 from siftwood.llm.automaton import SuffixAutomaton
-from siftwood.llm.common import Scratch, groups, min_spread
+from siftwood.llm.common import Scratch, groups, min_spread, shuffled
 
 WINDOW, ANCHOR, HOT = 50, 8, 1000
 
@@ -186,7 +186,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, ho
     distinct = scratch.write(distinct.join(shared, "anchor", "left_semi"), "distinct")
     several = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.min("low").alias("x"), F.max("low").alias("y")).where("m > 1 AND x <> y")
     wanted = distinct.join(several.select("anchor", (F.col("m") > hot).alias("hot")), "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "seg", "s0", "n", "hot")).alias("wanted"))
-    found = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_words_of(window), "anchor long, seg long, doc_id long, s0 int, win long, words binary")
+    found = docs.join(shuffled(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_words_of(window), "anchor long, seg long, doc_id long, s0 int, win long, words binary")
     found = scratch.write(found, "words")
     cold = found.where("win IS NULL").select("anchor", "seg", "doc_id", "s0", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "s0")
     matched = scratch.write(cold.mapInArrow(_stream(window), "anchor long, seg long, a int, b int"), "matched")
@@ -197,7 +197,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, ho
     runs = matched.unionByName(hot_rows).groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     fate = distinct.where("low <> top").select("anchor", "seg", "low").join(runs, ["anchor", "seg"], "full").select("anchor", "seg", "low", "runs")
     # low is null where only the smallest document has the segment
-    hit = segs.join(fate, ["anchor", "seg"]).withColumn("all", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).where("all OR runs IS NOT NULL")
+    hit = segs.join(shuffled(fate), ["anchor", "seg"]).withColumn("all", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).where("all OR runs IS NOT NULL")
     whole = hit.where("all").selectExpr("doc_id", "s0 AS a", "s0 + n AS b")
     some = hit.where("NOT all").select("doc_id", "s0", F.explode("runs").alias("r")).selectExpr("doc_id", "s0 + r.a AS a", "s0 + r.b AS b")
     return whole.unionByName(some)
@@ -208,5 +208,5 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_windows(d, scratch, window, hot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    out = d.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    out = d.join(shuffled(spans), "doc_id", "left").select("doc_id", "text", "spans")
     return scratch.keep(out.mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text))
