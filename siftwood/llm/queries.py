@@ -21,6 +21,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.decontaminate import find_overlaps
+
+    return find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.pseudonyms import pseudonym_report
+
+    key = spark.conf.get("spark.siftwood.pseudonymKey", "siftwood-test-key")
+    return pseudonym_report(read_table(spark, sf_dir, "documents"), key)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwood.llm.quality import score_quality
 
@@ -48,6 +61,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pseudonyms": op4_pseudonyms,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
