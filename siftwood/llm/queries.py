@@ -34,6 +34,13 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(read_table(spark, sf_dir, "documents"), key)
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.reply_trees import TRAP, format_conversations
+
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return format_conversations(table.unionByName(spark.createDataFrame(TRAP, "conv_id long, turn long, role string, text string")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwood.llm.quality import score_quality
 
@@ -63,10 +70,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_reply_trees": op5_reply_trees,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_shard": op10_shard,
 }
 
-ORACLES: dict[str, str] = {}
+#: The escaped form has one more character for each of the four that are coded; a turn adds "<turn ", ">", "</turn>" and a line feed.
+_OP5_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), x AS (
+  SELECT *, 15 + length(role) + length(text)
+    + length(role || text) - length(replace(replace(replace(replace(role || text, '\', ''), '<', ''), '>', ''), '#', '')) AS chars
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_reply_trees": _OP5_SQL,
+}
