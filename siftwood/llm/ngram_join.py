@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwood.llm import kernel
@@ -265,3 +265,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .unionByName(sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")))
     )
     return scratch.keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())))
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of linked documents (that of smallest id), with all of its columns.
+
+    Of repeated rows of that id one stays. Rows without an id stay, as nothing names them.
+    """
+    joined = ngram_jaccard_join(docs, id_col, text_col, **options)
+    verdict = joined.where("doc_id IS NOT NULL AND kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = docs.join(shuffled(verdict), docs[id_col].cast("long") == F.col("__kept_id"))
+    first = F.row_number().over(Window.partitionBy("__kept_id").orderBy(F.xxhash64(text_col)))
+    out = kept.withColumn("__rank", first).where("__rank = 1").select(*[docs[c] for c in docs.columns])
+    out = out.unionByName(docs.where(F.col(id_col).isNull()))
+    out._siftwood_scratch = joined._siftwood_scratch
+    return out

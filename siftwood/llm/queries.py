@@ -41,6 +41,12 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table.unionByName(spark.createDataFrame(TRAP, "conv_id long, turn long, role string, text string")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwood.llm.quality import score_quality
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_reply_trees": op5_reply_trees,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
