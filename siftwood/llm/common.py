@@ -52,16 +52,17 @@ def _delete(spark_ref, path: str) -> None:
 class Scratch:
     """A folder of written tables under the shared checkpoint folder.
 
-    The tables cut lineage: an executor lost later re-reads them instead of recomputing. `keep(df)`
-    ties the folder to the result; it is deleted when the result is garbage-collected, or at exit.
+    The tables cut lineage: an executor lost later re-reads them instead of recomputing. Results read them lazily, so the folder stays
+    until `close()` (a result has it as `_siftwood_scratch`) or the end of the driver; `drop` frees what no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ensure_importable(spark)
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._end = weakref.finalize(self, _delete, weakref.ref(spark), self.path)
-        self._end.atexit = False
-        atexit.register(self._end)
+        atexit.register(_delete, weakref.ref(spark), self.path)
+
+    def close(self) -> None:
+        _delete(weakref.ref(self.spark), self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"

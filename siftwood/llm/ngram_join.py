@@ -89,7 +89,7 @@ def _minhash(g: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> np.ndar
 
 def _bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """(documents, bands) of bucket keys."""
-    parts = sig.reshape(len(sig), -1, rows).astype(np.uint64)
+    parts = sig.reshape(len(sig), sig.shape[1] // rows, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
         key = np.zeros(parts.shape[:2], np.uint64)
         for r in range(rows):
