@@ -50,19 +50,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, str
 
     doc_key is a hash of the id and text, which names the row where ids are null or repeat.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), plain_words(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") > min(m[-1] for m in MASKS))
-    item_seeds = _placed(items, "item_words").withColumnRenamed("pos_", "item_pos").distinct()
+    shortest = min(m[-1] for m in MASKS)
+    item_key = F.xxhash64(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).alias("item_key")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), item_key, plain_words(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") > shortest).distinct()
+    item_seeds = _placed(items, "item_words").select("seed", "item_key", F.col("pos_").alias("item_pos"), F.size("item_words").alias("item_n"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("doc_key"), plain_words(F.col(text_col)).alias("words"))
     start = "(pos_ - item_pos)"
-    beside = f"slice(words, greatest({start}, 0) + 1, size(item_words) - greatest(-{start}, 0))"
+    beside = f"slice(words, greatest({start}, 0) + 1, item_n - greatest(-{start}, 0))"
     if item_seeds.count() <= broadcast_seeds:
+        # four numbers a seed, so at most some 100 MB
         hits = _placed(d, "words").join(F.broadcast(item_seeds), "seed")
     else:
-        thin = _placed(d, "words").drop("words").join(shuffled(item_seeds.drop("item_words")), "seed")
-        diagonals = thin.selectExpr("doc_key", "item_id", "pos_", "item_pos").distinct()
-        hits = diagonals.join(shuffled(d), "doc_key").join(items, diagonals["item_id"].eqNullSafe(items["item_id"])).drop(items["item_id"])
+        thin = _placed(d, "words").select("doc_key", "seed", "pos_").join(shuffled(item_seeds), "seed")
+        diagonals = thin.select("doc_key", "item_key", "item_n", "pos_", "item_pos").distinct()
+        hits = diagonals.join(shuffled(d), "doc_key")
     # one row a diagonal; the document's words beside the item's are cut out here, inside the generated code of the seed join
-    found = hits.selectExpr("doc_id", "doc_key", "item_id", f"{start} AS diagonal", f"{beside} AS beside", "item_words").groupBy("doc_id", "doc_key", "item_id", "diagonal").agg(F.first("beside").alias("beside"), F.first("item_words").alias("item_words"))
+    found = hits.selectExpr("doc_id", "doc_key", "item_key", f"{start} AS diagonal", f"{beside} AS beside").groupBy("doc_id", "doc_key", "item_key", "diagonal").agg(F.first("beside").alias("beside")).join(items, "item_key")
     # places before the first or after the last word of the document are misses
     same = "transform(item_words, (w, j) -> CASE WHEN j + least(diagonal, 0) >= 0 AND get(beside, j + least(diagonal, 0)) = w THEN 1 ELSE 0 END)"
     best = "aggregate(same, struct(0 AS here, 0 AS best), (a, x) -> struct(greatest(0, a.here + IF(x = 1, 1, -2)) AS here, greatest(a.best, a.here + IF(x = 1, 1, -2)) AS best), a -> a.best)"
