@@ -216,7 +216,8 @@ def scorer(model: tuple[np.ndarray, float, float]):
         out = np.full(len(text), 0.0)
         for a, n, d, sl, v in features(text):
             out[a : a + n] = np.bincount(d, v * weights[sl], n)
-        return pa.array(1 / (1 + np.exp(-np.clip(slope * out + offset, -500, 500))))
+        with np.errstate(over="ignore"):
+            return pa.array(1 / (1 + np.exp(-np.clip(slope * out + offset, -800, 800))))
 
     return score
 

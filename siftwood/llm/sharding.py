@@ -5,8 +5,8 @@ of Spark joins, under a quota for each shard; documents without a link fill what
 (the law is `rows`).
 
 A link group is a hyperedge, so its members read the group's label counts instead of each other's. A group larger than a quarter of a shard is
-split by a hash first, as no shard could take it whole. A round proposes, for each piece not yet whole,
-its heaviest shard; proposals of one target are admitted in hash order while the quota lasts, with sums over hash buckets instead of a global
+split by a hash first, as no shard could take it whole. A round proposes, for each piece,
+the shard that most of its group's members share (the next heaviest for the pieces that one shard can't take); proposals of one target are admitted in hash order while the quota lasts, with sums over hash buckets instead of a global
 sort. Groups that never fit whole stay where they lie.
 
 Law and slots are exact and distributed: ranks come from counts per (shard, hash bucket), at most 8 x `BUCKETS` rows of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siftwood.llm.common import Scratch
 
-SHARDS, ROUNDS, BUCKETS = 8, 4, 2048
+SHARDS, ROUNDS, BUCKETS = 8, 8, 2048
 
 
 def _bucket(n: int, *cols):
@@ -41,24 +41,29 @@ def _rank(rows: DataFrame, by: str, buckets: int) -> DataFrame:
 
 
 def propagate(linked: DataFrame, scratch: Scratch, quota: int, shards: int, rounds: int) -> DataFrame:
-    """(rid, piece, shard): balanced label propagation over pieces of link groups. linked: rid, piece."""
+    """(rid, piece, shard): balanced label propagation over pieces of link groups. linked: rid, link, piece, seat.
+
+    A group's members count its labels; the piece in seat s wants the group's s-th heaviest shard, so the pieces of a split group
+    fill one shard before the next. From the third round a piece that found no room tries the next one.
+    """
     at = scratch.write(linked.withColumn("shard", F.pmod(F.xxhash64("rid", "piece"), F.lit(shards)).cast("int")), "labels-0")
-    # the first labels already keep the quotas, but for chance; pieces only move where there is room
     for k in range(1, rounds + 1):
-        counts = at.groupBy("piece", "shard").agg(F.count("*").alias("n"))
         load = at.groupBy("shard").agg(F.count("*").alias("load"))
-        pieces = counts.groupBy("piece").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top"), F.sum("n").alias("all"), F.max(F.struct(F.xxhash64("piece", "shard", F.lit(k)), "shard")).alias("any"))
-        # towards most neighbours; from the third round a piece that found no room tries another of its shards
-        to = -F.col("top.s") if k < 3 else F.col("any.shard")
-        wish = pieces.where("top.n < all").select("piece", to.alias("to"), "all", _bucket(BUCKETS, "piece", F.lit(k)).alias("b"))
-        stay = counts.withColumnRenamed("shard", "to").withColumnRenamed("n", "there")
-        wish = wish.join(stay, ["piece", "to"]).withColumn("adds", F.col("all") - F.col("there"))
+        held = [F.count(F.when(F.col("shard") == s, 1)).alias(f"n{s}") for s in range(shards)]
+        heaviest = F.array_sort(F.array(*[F.struct((-F.col(f"n{s}")).alias("n"), F.lit(s).alias("s")) for s in range(shards)]))
+        order = at.groupBy("link").agg(*held).select("link", F.transform(heaviest, lambda x: x["s"]).alias("order"))
+        pieces = at.groupBy("link", "piece", "seat").agg(F.count("*").alias("all"), *held).join(order, "link")
+        want = F.expr(f"order[CAST((seat + {max(0, k - 2)}) % {shards} AS INT)]")
+        there = F.array(*[F.col(f"n{s}") for s in range(shards)])
+        most = F.array_max(there)
+        wish = pieces.withColumn("to", want).withColumn("there", F.element_at(there, F.col("to") + 1))
+        # whole pieces stay, as long as no seat before the third round calls them elsewhere
+        wish = wish.where(F.col("there") < F.col("all")).where((most < F.col("all")) | F.lit(k < 3)).select("piece", "to", (F.col("all") - F.col("there")).alias("adds"), _bucket(BUCKETS, "piece", F.lit(k)).alias("b"))
         # at most shards x BUCKETS rows
-        sums = wish.groupBy("to", "b").agg(F.sum("adds").alias("adds"))
-        upto = sums.withColumn("upto", F.sum("adds").over(Window.partitionBy("to").orderBy("b")))
+        upto = wish.groupBy("to", "b").agg(F.sum("adds").alias("adds")).withColumn("upto", F.sum("adds").over(Window.partitionBy("to").orderBy("b")))
         room = upto.join(load.withColumnRenamed("shard", "to"), "to", "left").where(F.col("upto") <= F.lit(quota) - F.coalesce("load", F.lit(0))).select("to", "b")
         moves = wish.join(F.broadcast(room), ["to", "b"]).select("piece", "to")
-        at = scratch.write(at.join(moves, "piece", "left").select("rid", "piece", F.coalesce("to", "shard").alias("shard")), f"labels-{k}")
+        at = scratch.write(at.join(moves, "piece", "left").select("rid", "link", "piece", "seat", F.coalesce("to", "shard").alias("shard")), f"labels-{k}")
         scratch.drop(f"labels-{k - 1}")
     return at
 
@@ -69,7 +74,8 @@ def assign(keyed: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int
     quota = max(1, total // shards)
     groups = keyed.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
     pieces = F.ceil(F.col("n") / max(1, quota // 4))
-    linked = scratch.write(keyed.join(groups, "link").select("rid", F.xxhash64("link", F.pmod(F.xxhash64("rid"), pieces)).alias("piece")), "linked")
+    part = F.pmod(F.xxhash64("rid"), pieces)
+    linked = scratch.write(keyed.join(groups, "link").select("rid", "link", F.xxhash64("link", part).alias("piece"), F.floor(part / 4).cast("long").alias("seat")), "linked")
     at = propagate(linked, scratch, quota, shards, rounds)
     # over a quota (only chance in the first labels makes that), the last in hash order give way and fill like the unlinked
     ranked = _rank(at.withColumn("bucket", _bucket(BUCKETS, "piece")).withColumn("tie", F.xxhash64("piece")), "shard", BUCKETS)
