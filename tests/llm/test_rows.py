@@ -1,0 +1,233 @@
+"""Operators on rows, mixing, sharding and the pipeline, against brute force and defined cases."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from siftwood.llm import licenses, mixing, quality
+from siftwood.llm.decontaminate import drop_contaminated, find_overlaps
+from siftwood.llm.mixing import mix_documents, mix_sources, source_targets
+from siftwood.llm.pseudonyms import pseudonym_report, pseudonymise
+from siftwood.llm.quality import keep_quality, score_quality
+from siftwood.llm.reply_trees import TRAP, format_conversations, format_paths, read_back
+from siftwood.llm.sharding import shard_documents
+from tests.llm.test_joins import docs_of, prose
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_targets():
+    assert source_targets([("a", 100), ("b", 100), ("c", 100)], (3, 1, 2), 1.5, 2.0) == pytest.approx([200.0, 250 / 3, 500 / 3])
+    assert source_targets([("a", 0), (None, 10)], (3, 1, 2), 1.5, 2.0) == [0.0, 15.0]
+    assert source_targets([], (3, 1, 2), 1.5, 2.0) == []
+
+
+def _mixable(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(prose(rng, rng.randrange(1, 60))), rng.choice(["a", "b", "c", "d", None])) for i in range(1500)] + [(1500, None, "a"), (1501, "", None), (1502, "x y", "only"), (7, "dup dup", "a"), (None, "no id", "b")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("rid", F.lit(1))
+
+
+def test_mixing_keeps_targets(spark):
+    df = _mixable(spark)
+    got = mix_sources(df).collect()
+    assert len(got) == df.count() and sorted(map(str, got)) == sorted(map(str, mix_sources(df.repartition(7)).collect()))
+    by = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault((r["source_size"], r["target"]), []).append(r)
+    for (_, target), rows in by.items():
+        assert abs(sum(r["taken"] for r in rows) - target) <= max(r["size"] for r in rows) + 1e-6
+    copies = mix_documents(df)
+    assert copies.columns == df.columns
+    want = sorted(x for r in got for x in [str(r["doc_id"])] * r["copies"])
+    assert sorted(str(r["doc_id"]) for r in copies.collect()) == want
+    assert mix_sources(df.limit(0)).count() == 0 and mix_documents(df.limit(0)).count() == 0
+
+
+def test_pivot_keeps_words_and_expectations():
+    sizes, p = [5.0, 9.0, 2.0, 30.0, 7.0, 1.0], [0.4] * 6
+    seen = [0.0] * 6
+    for seed in range(3000):
+        out, held = mixing.pivot(sizes, p, list(range(6)), seed)
+        assert abs(sum(a * b for a, b in zip(sizes, out)) - sum(a * b for a, b in zip(sizes, p))) < 1e-9
+        assert sum(0 < x < 1 for x in out) <= 1 and (held is None or 0 < out[held] < 1)
+        seen = [a + b / 3000 for a, b in zip(seen, out)]
+    assert all(abs(x - 0.4) < 0.04 for x in seen)
+
+
+def test_sharding_law_slots_and_groups(spark):
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, 6)) for _ in range(40)] + ["hot text"]
+    rows = [(i, texts[40] if i % 3 == 0 else texts[rng.randrange(40)] if i % 5 == 0 else f"single {i}") for i in range(900)] + [(900, None), (901, None), (902, ""), (902, "")]
+    df = docs_of(spark, rows).withColumn("link", F.lit(1)).withColumn("shard", F.lit(2))
+    got = shard_documents(df).collect()
+    counts = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert len(got) == len(rows) and max(counts) - min(counts) <= 1 and {r["law"] for r in got} == {"rows"}
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+    where = {}
+    text_of = dict(rows)
+    for r in got:
+        if r["doc_id"] < 900:
+            where.setdefault(text_of[r["doc_id"]], []).append(r["shard"])
+    small = [s for t, s in where.items() if 1 < len(s) < 20]
+    assert sum(len(set(s)) == 1 for s in small) >= 0.9 * len(small) and len(set(where["hot text"])) <= 4
+    assert {(r["size"], r["text_crc32"]) for r in got if r["doc_id"] in (900, 902)} == {(1, 0)}
+    assert shard_documents(df.limit(0)).count() == 0
+    assert sorted(r["shard"] for r in shard_documents(df.limit(3)).collect()) == [0, 1, 2]
+
+
+def _bench_rows(rng):
+    return [(i, " ".join(prose(rng, rng.randrange(15, 50), 5000)).capitalize() + ".") for i in range(12)] + [(50, "too short to seed"), (51, None)]
+
+
+def test_decontamination(spark):
+    rng = random.Random(11)
+    items = _bench_rows(rng)
+    rows, planted = [], set()
+    for i in range(120):
+        w = prose(rng, rng.randrange(0, 120), 5000)
+        if i % 3 == 0:
+            item, t = items[rng.randrange(12)]
+            piece = t.split()
+            if i % 2:
+                for k in range(rng.randrange(3), len(piece), 5):  # every fifth word differs
+                    piece[k] = "zzz"
+            cut = rng.randrange(len(w) + 1)
+            w = w[:cut] + piece + w[cut:]
+            planted.add((i, item))
+        rows.append((i, " ".join(w)))
+    rows += [(120, None), (121, ""), (None, items[0][1])]
+    df, bench = docs_of(spark, rows).withColumn("seed", F.lit(1)).withColumn("words", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    got = find_overlaps(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == planted | {(None, 0)}
+    other = find_overlaps(df, bench, broadcast_seeds=0).collect()
+    assert sorted(map(str, got)) == sorted(map(str, other))
+    kept = drop_contaminated(df, bench)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i is not None} - {i for i, _ in planted}
+    assert find_overlaps(df.limit(0), bench).count() == 0 and find_overlaps(df, bench.limit(0)).count() == 0
+
+
+def _luhn(s):
+    return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    texts = ["card 4111 1111 1111 1111 and 4111111111111111 bad 4111111111111112", "call +1 (017) 555-7713, ip 97.51.17.173 bad 300.1.1.1", "ssn 123-45-6789 bad 000-12-3456 on 2024-02-29, 30.02.2023, 31/12/1999", "GB82 WEST 1234 5698 7654 32", 'und.34@mail7.example.com token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None, "", "4111111111111111"]
+    df = docs_of(spark, list(enumerate(texts))).withColumn("m", F.lit(1)).withColumn("p", F.lit(1))
+    got = {r["doc_id"]: r for r in pseudonym_report(df, "k").collect()}
+    spaced, solid = re.search(r"(\d{4} \d{4} \d{4} \d{4}) and (\d{16}) bad 4111111111111112", got[0]["text"]).groups()
+    assert spaced.replace(" ", "") == solid == got[7]["text"] != "4111111111111111" and _luhn(solid)
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}, ip \d+\.\d+\.\d+\.\d+ bad 300\.1\.1\.1", got[1]["text"]) and "555-7713" not in got[1]["text"]
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4} bad 000-12-3456 on \d{4}-\d\d-\d\d, 30\.02\.2023, \d\d/\d\d/\d{4}", got[2]["text"])
+    iban = got[3]["text"].replace(" ", "")
+    assert iban != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert "und.34" not in got[4]["text"] and got[4]["text"].count("@mail7.example.com") == 1 and "04dbebab" not in got[4]["text"]
+    assert got[5]["text"] is None and got[6]["text"] == "" and (got[0]["n_card"], got[2]["n_date"], got[4]["n_secret"]) == (2, 2, 1)
+    assert pseudonymise(df, "k").columns == df.columns and pseudonymise(df.limit(0), "k").count() == 0
+    assert pseudonym_report(df, "other").where("doc_id = 7").first()["text"] != got[7]["text"]
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1999, 2099) for m in (1, 6, 12) for d in (1, 15, 28)]
+    ips = [f"10.0.{a}.{b}" for a in range(4) for b in range(16)]
+    df = docs_of(spark, list(enumerate(days + ips)))
+    out = [r["text"] for r in pseudonym_report(df, "k").collect()]
+    assert len(set(out)) == len(days) + len(ips)
+
+
+def test_reply_trees(spark):
+    rows = [(1, 1, None, "user", "root", 0.0), (1, 2, 1, "assistant", "good", 0.9), (1, 3, 1, "assistant", "bad", 0.1), (1, 4, 2, "user", None, 0.5), (1, 5, 3, "user", "x", 1.0), (2, 1, 9, "user", "orphan", None), (3, 1, 2, "a", "cycle", 1.0), (3, 2, 1, "b", "cycle", 1.0), (1, 2, 1, "assistant", "good", 0.9)]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = read_back(format_paths(m)).collect()
+    assert {r["tree"]: [tuple(t) for t in r["turns"]] for r in got} == {1: [("user", "root"), ("assistant", "good"), ("user", "")], 2: [("user", "orphan")]}
+    both = read_back(format_paths(m, paths=2)).where("tree = 1").collect()
+    assert sorted(len(r["turns"]) for r in both) == [3, 3] and {r["loss_text"] for r in both} == {"good", "bad"}
+    assert format_paths(m.limit(0)).count() == 0
+
+
+def test_conversations_read_back_exactly(spark):
+    rows = TRAP + [(1, t, ("user", "assistant")[t % 2], f"\\l <turn a>{t}</turn>\n \\\\ # é😀") for t in range(70)] + [(2, None, None, None), (2, 3, "assistant", ""), (None, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).withColumn("score", F.lit("c"))
+    got = {r["conv_id"]: r for r in format_conversations(df).collect()}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or ""))
+        said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert format_conversations(df.limit(0)).count() == 0
+
+
+def test_licenses_match_brute_force(spark):
+    texts = ["Released under teh MIT Licence, ok", "licensed undr the Apache License, version 2.0", "Under the MIT License. Under the MIT license", "CC BY-NC 4.0", "al rights reservd", "nothing here " * 50, None, "", "éé 12a-b", "pre " * 300 + "redistribution and us in source and binary form" + " post" * 10]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, list(enumerate(texts))).withColumn("labels", F.lit(1))).collect()}
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        starts, base = [], set()
+        for phrase, label in licenses.BASE.items():
+            p = phrase.split()
+            hits = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            starts += hits
+            base |= {label} if hits else set()
+        fuzzy = {label for text, label, k in licenses.NOTICES if regex.search(f"(?b)(?:{regex.escape(text)}){{e<={k}}}", " ".join(words))}
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | fuzzy)) and 0 <= r["score"] <= 1
+    assert got[0]["labels"] == "mit" and got[4]["labels"] == "all-rights-reserved" and got[9]["labels"] == "bsd" and got[5]["labels"] == ""
+    assert licenses.scan_licenses(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_quality_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = score_quality(docs, labels)
+    rows = scored.join(labels, "doc_id").collect()
+    test = [r for r in rows if r["held_out"]]
+    assert scored.count() == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert sum(r["predicted"] == r["quality"] for r in test) >= 0.95 * len(test)
+
+
+def test_quality_defined_cases(spark):
+    docs = docs_of(spark, [(1, "fine words here"), (None, None), (2, ""), (2, "")]).withColumn("score", F.lit("c"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r["score"] for r in score_quality(docs, none).collect()] == [1.0] * 4
+    assert keep_quality(docs, none).columns == docs.columns and score_quality(docs.limit(0), none).count() == 0
+    bad = spark.createDataFrame([(i, 0) for i in range(10)], "doc_id long, quality int")
+    assert {r["score"] for r in score_quality(docs, bad).collect()} == {0.0}
+    rows = [(i, "GOOD!! WORDS!! HERE!!" if i % 2 else "plain words in a row") for i in range(60)]
+    marks = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(60)], "doc_id long, quality int")
+    assert all((r["predicted"] == 1) == (r["doc_id"] % 2 == 0) for r in score_quality(docs_of(spark, rows), marks).collect())
+    assert quality.SAMPLE > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF).collect()
+    counts = [sum(r["shard"] == s for r in out) for s in range(8)]
+    assert out and max(counts) - min(counts) <= 1 and {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
