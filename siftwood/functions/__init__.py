@@ -1 +1 @@
-
+"""Column functions, and page-local Python behind Arrow."""

@@ -27,3 +27,16 @@ def infer_group(explicit: Column, question: Column, index: Column, keywords: lis
 
 def status_counts(docs: DataFrame, *by: str) -> DataFrame:
     return docs.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def report_text(summary: DataFrame, group: str) -> DataFrame:
+    """The summary as report lines, overall first: a table for the text sink."""
+    name = F.coalesce(F.col(group), F.lit("overall"))
+    line = F.format_string("%s (%d): %.2f%%, %.3f s", name, F.col("count"), F.col("success_rate") * 100, F.col("avg_latency"))
+    return summary.select(F.col(group).isNotNull().alias("later_"), name.alias("name_"), line.alias("value")).orderBy("later_", "name_").select("value")
+
+
+def write_results(results: DataFrame, summary: DataFrame, group: str, path: str) -> None:
+    """JSON rows and a text report."""
+    results.write.mode("overwrite").json(f"{path}/results")
+    report_text(summary, group).coalesce(1).write.mode("overwrite").text(f"{path}/report")

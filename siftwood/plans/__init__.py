@@ -1 +1 @@
-
+"""Plans over whole tables."""

@@ -552,3 +552,49 @@ def _(t):
 
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return context_of(retrieve(q, t("pages")), q)
+
+
+@query("should_use_rag", f"SELECT conv_id, turn, reason, reason IN ('RAG_RISK_SIGNAL', 'NO_HIGH_CONFIDENCE_RULE_MATCH') AS use_rag FROM ({_ROUTE})")
+def _(t):
+    from siftwood.operators.models import should_use_rag
+    from siftwood.sources.offline import doubting_judge
+
+    return should_use_rag(_asked(t), "raw", doubting_judge).select("conv_id", "turn", "reason", "use_rag")
+
+
+@query("generate_queries")
+def _(t):
+    from siftwood.operators.models import generate_queries
+    from siftwood.sources.offline import first_words, name_entities
+
+    return generate_queries(t("benchmark"), "item_id", "text", name_entities, first_words)
+
+
+@query("page_images")
+def _(t):
+    from siftwood.operators.models import page_images
+    from siftwood.sources.offline import echo_bytes, hash_images
+
+    i = F.col("page_id")
+    docs = t("pages").select("page_id", F.array(*[F.concat(F.lit("https://img.example.com/"), ((i + k) % 40).cast("string"), F.lit(".jpg")) for k in range(4)]).alias("image_urls"))
+    return page_images(docs, "page_id", "image_urls", echo_bytes, hash_images)
+
+
+@query("chunk_profiles")
+def _(t):
+    from siftwood.operators.models import chunk_profiles
+    from siftwood.operators.pages import chunk_documents
+    from siftwood.sources.offline import hash_embedding
+
+    keyed = t("documents").where(F.col("text").isNotNull()).select(text.content_hash(F.col("text")).alias("content_hash"), "text").dropDuplicates(["content_hash"])
+    chunks = chunk_documents(keyed).select("content_hash", F.lit(400).alias("size"), F.lit(0).alias("query_id"), "chunk_id", "chunk")
+    return chunk_profiles(chunks, chunks.limit(0).withColumn("vector", F.lit(None).cast("array<float>")), "query_id", hash_embedding)
+
+
+@query("page_image_score", f"SELECT label, round(max({_DOT.format(a='e.embedding', b='p.embedding')}), 6) AS score FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) p GROUP BY label")
+def _(t):
+    from siftwood.operators.models import page_image_score
+
+    e = t("embeddings")
+    pairs = match.all_pairs(e.select("label", "embedding"), e.where("vec_id = 0").select(F.col("embedding").alias("prompt_vector")))
+    return page_image_score(pairs.select("label", vectors.dot(F.col("embedding"), F.col("prompt_vector")).alias("s")), "label", "s").withColumn("score", F.round("score", 6))

@@ -1 +1 @@
-
+"""Sources and offline providers."""

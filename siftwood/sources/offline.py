@@ -20,3 +20,29 @@ def hash_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
         v = rng.normal(size=dim)
         out.append((v / np.linalg.norm(v)).tolist())
     return out
+
+
+def doubting_judge(prompts: list[str]) -> list[str]:
+    """A judge that always wants more evidence."""
+    return ['{"judgement": "NO", "addition": "more"}'] * len(prompts)
+
+
+def first_words(prompts: list[str]) -> list[str]:
+    """A query writer that keeps the first five words."""
+    return [" ".join((p or "").split()[:5]) for p in prompts]
+
+
+def name_entities(prompts: list[str]) -> list[str]:
+    """A candidate finder that names the longest word."""
+    import json
+
+    return [json.dumps({"candidates": [{"name": max((p or "x").split() or ["x"], key=len), "confidence": 0.5}]}) for p in prompts]
+
+
+def echo_bytes(urls: list[str]) -> list[bytes]:
+    """A download whose body is the URL."""
+    return [u.encode() for u in urls]
+
+
+def hash_images(bodies: list[bytes]) -> list[list[float]]:
+    return hash_embedding([b.decode() for b in bodies])
