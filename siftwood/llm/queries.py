@@ -103,6 +103,41 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM x GROUP BY conv_id
 """
 
+_WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_SQL.replace("coalesce(text, '')", "lower(coalesce(text, ''))")} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, m = x.n AND m = y.n AS equal FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m) - 1e-9),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM l WHERE l.a = doc_id AND equal), doc_id)) AS class_id,
+  (SELECT count(*) FROM l WHERE l.a = doc_id)::BIGINT AS n_links, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON c.a = doc_id
+"""
+
+_OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(ws) - 48)) AS r(i)),
+f AS (SELECT h, min(doc_id) AS low FROM p GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM p JOIN f USING (h), unnest(range(0, 50)) AS r(k) WHERE doc_id > low),
+w AS (SELECT doc_id, j, ws[j] AS word FROM d, unnest(range(1, len(ws) + 1)) AS r(j)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM w ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = reach.a)::BIGINT AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach GROUP BY a
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": _OP1_SQL,
     "op5_reply_trees": _OP5_SQL,
+    "op8_substring_dedup": _OP8_SQL,
+    "op9_embedding_dedup": _OP9_SQL,
 }
