@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwood import config
-from siftwood.functions.text import normalize_query, strip
+from siftwood.functions.text import let, normalize_query, strip
 
 RISK_TERMS = config.VISUAL + config.SPATIAL + config.DEICTIC + config.EVIDENCE + config.FRESH
 
@@ -38,7 +38,10 @@ def _concept(q: Column) -> Column:
 def route(query: Column, word_boundary: bool = False) -> Column:
     """struct(decision, confidence, reason, matched)."""
     raw = F.coalesce(query, F.lit(""))
-    q, payload = normalize_query(raw), has_payload(raw)
+    return let(F.struct(raw.alias("raw"), normalize_query(raw).alias("q"), has_payload(raw).alias("payload")), lambda x: _cascade(x["raw"], x["q"], x["payload"], word_boundary))
+
+
+def _cascade(raw: Column, q: Column, payload: Column, word_boundary: bool) -> Column:
     hits = lambda terms: term_hits(q, terms, word_boundary)
     some = lambda terms: F.size(hits(terms)) > 0
     answer = lambda d, c, r, m: F.struct(F.lit(d).alias("decision"), F.lit(c).alias("confidence"), F.lit(r).alias("reason"), m.alias("matched"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,15 +59,27 @@ def looks_boilerplate(text: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once a row; inside lambdas Catalyst would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def listing_noise(text: Column) -> Column:
     """Navigation and link-list text rather than prose."""
-    t = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    hits = F.size(F.filter(F.array(*[F.lit(x) for x in config.LISTING_TOKENS]), lambda x: F.contains(low, x)))
-    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: (F.size(words_of(x)) <= 7) & (F.length(x) <= 80)))
-    shorts = (F.size(lines) >= 5) & (short / F.greatest(F.size(lines), F.lit(1)) >= 0.7)
-    return F.when(t == "", False).otherwise((hits >= 2) | shorts | ((hits >= 1) & (F.length(t) < 900)))
+
+    def judge(t: Column) -> Column:
+        hits = let(F.lower(t), lambda low: F.size(F.filter(F.array(*[F.lit(x) for x in config.LISTING_TOKENS]), lambda x: F.contains(low, x))))
+        lines = F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.struct(F.regexp_count(x, F.lit(r"(?U)\S+")).alias("w"), x.alias("x")))
+
+        def add(a: Column, x: Column) -> Column:
+            short = (x["w"] > 0) & (x["w"] <= 7) & (F.length(strip(x["x"])) <= 80)
+            return F.struct((a["n"] + (x["w"] > 0).cast("int")).alias("n"), (a["s"] + short.cast("int")).alias("s"))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"))
+        shorts = F.aggregate(lines, zero, add, lambda a: (a["n"] >= 5) & (a["s"] / F.greatest(a["n"], F.lit(1)) >= 0.7))
+        return F.when(t == "", False).otherwise(let(hits, lambda h: (h >= 2) | ((h >= 1) & (F.length(t) < 900))) | shorts)
+
+    return let(strip(F.coalesce(text, F.lit(""))), judge)
 
 
 def strip_title_suffix(title: Column, site: Column) -> Column:

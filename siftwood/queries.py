@@ -116,9 +116,7 @@ def _(t):
 
     docs = t("documents").select("doc_id", "text")
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    # ranked on rounded scores, so that both engines break ties alike
-    full = corpus_search(q, docs, 1 << 30).withColumn("score", F.round("score", 6)).drop("rank")
-    return select.topk(full, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 5).withColumn("rank", F.col("rank").cast("long"))
+    return corpus_search(q, docs, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("freshness", f"""SELECT event_id, CASE WHEN d < 0 THEN 0 WHEN d <= 7 THEN 0.04 WHEN d <= 30 THEN 0.025 WHEN d <= 365 THEN 0.005 ELSE 0 END::double AS bonus
@@ -228,8 +226,9 @@ def _(t):
 
 @query("rag_risk", f"SELECT conv_id, turn, array_to_string({_hits(routing.RISK_TERMS)}, ',') AS matched, len({_hits(routing.RISK_TERMS)})::BIGINT AS n FROM (SELECT conv_id, turn, lower(trim(regexp_replace({_ASKED}, '\\s+', ' ', 'g'))) AS q FROM conversations)")
 def _(t):
-    hits = routing.term_hits(text.normalize_query(F.col("raw")), routing.RISK_TERMS)
-    return _asked(t).select("conv_id", "turn", F.array_join(hits, ",").alias("matched"), F.size(hits).cast("long").alias("n"))
+    hits = F.col("hits")
+    asked = _asked(t).withColumn("hits", text.let(text.normalize_query(F.col("raw")), lambda q: routing.term_hits(q, routing.RISK_TERMS)))
+    return asked.select("conv_id", "turn", F.array_join(hits, ",").alias("matched"), F.size(hits).cast("long").alias("n"))
 
 
 @query("chunk_predicates", f"""SELECT doc_id, trim(text, E' \\n\\t\\r') <> '' AND (NOT (l OR n) OR s >= 0.3 OR s >= 0.18 OR (q >= 0.55 AND length(trim(text, E' \\n\\t\\r')) >= 900 AND s >= 0.22)) AS usable,
