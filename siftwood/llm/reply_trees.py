@@ -50,29 +50,29 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, paths: int = 1, max_roun
     m = scratch.write(m, "nodes")
     known = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     up = m.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")) & (F.col("parent") != F.col("node")), "left")
-    # `sum` and `len` cover the messages from a node up to, not including, its jump; a root jumps to null
-    jump = scratch.write(up.select("tree", "node", F.col("n2").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len")), "jump-0")
-    jumps = [jump]
+    # `sum` and `len` cover the messages from a node up to, not including, its jump; a root jumps to null. A message that has met its root
+    # leaves the rounds, so round k costs the messages deeper than 2^k
+    first = scratch.write(up.select("tree", "node", F.col("n2").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len")), "jump-0")
+    done, active = first.where("to IS NULL"), first.where("to IS NOT NULL")
+    jumps, left = [], active.count()
     for k in range(1, max_rounds + 1):
-        if jump.where("to IS NOT NULL").isEmpty():
+        if not left:
             break
-        far = jump.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("to").alias("to2"), F.col("sum").alias("s2"), F.col("len").alias("l2"))
-        step = jump.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("to") == F.col("n2")), "left")
-        after = scratch.write(step.select("tree", "node", F.col("to2").alias("to"), (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("l2", F.lit(0))).alias("len")), f"jump-{k}")
-        if k > 1 and after.where("to IS NOT NULL").count() == jump.where("to IS NOT NULL").count():
-            # only cycles still jump: every other chain loses messages in each round
-            jump = after
-            break
-        jump = after
-        jumps.append(jump)
-    done = jump.where("to IS NULL")
+        jumps.append(active)
+        far = active.unionByName(done).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("to").alias("to2"), F.col("sum").alias("s2"), F.col("len").alias("l2"))
+        step = active.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("to") == F.col("n2")))
+        step = scratch.write(step.select("tree", "node", F.col("to2").alias("to"), (F.col("sum") + F.col("s2")).alias("sum"), (F.col("len") + F.col("l2")).alias("len")), f"jump-{k}")
+        done, active = done.unionByName(step.where("to IS NULL")), step.where("to IS NOT NULL")
+        before, left = left, active.count()
+        if left == before:
+            break  # only cycles still jump: every other chain loses messages in each round
     parents = m.where("parent IS NOT NULL AND parent <> node").select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("sum") / F.col("len")).desc(), "node"))
     best = leaves.withColumn("path", rank).where(F.col("path") <= paths).select("tree", "path", "node")
     marked = scratch.write(best, "marked")
     for k in range(len(jumps) - 1, -1, -1):
-        far = jumps[k].where("to IS NOT NULL").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "to")
+        far = jumps[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "to")
         more = marked.join(far, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select("tree", "path", F.col("to").alias("node"))
         marked = scratch.write(marked.unionByName(more).distinct(), f"marked-{k}")
     depth = done.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), (F.col("len") - 1).alias("depth"))
