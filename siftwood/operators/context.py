@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +17,26 @@ _FIRST = ("name", "site_name", "date_published", "content_source", "image_match_
 def suppress_near_duplicates(chunks: DataFrame, query: str, url: str, pos: str, text: str, threshold: float = 0.92) -> DataFrame:
     """Drops chunks alike to an earlier one of the same page of the same query (at most a few tens are selected)."""
     ensure_importable(chunks.sparkSession)
-    types = dict(chunks.dtypes)
-    keys = chunks.select(F.col(query).alias("q__"), F.col(url).alias("u__"), F.col(pos).alias("p__"), text_signature(F.col(text)).alias("s__"))
+    keyed = chunks.withColumn("sig_", text_signature(F.col(text)))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out = Seen(threshold), []
-        for p, s in sorted(zip(pdf["p__"], pdf["s__"])):
-            if len(s) < 80 or not seen.like(s):
-                out.append(p)
-                if s:
-                    seen.add(s)
-        return pd.DataFrame({"q__": [pdf["q__"].iloc[0]] * len(out), "p__": out})
+    def keep(rows: pa.Table) -> pa.Table:
+        seen, out, sigs = Seen(threshold), [], rows["sig_"].to_pylist()
+        for i in pc.sort_indices(rows[pos]).to_pylist():
+            if len(sigs[i]) < 80 or not seen.like(sigs[i]):
+                out.append(i)
+                if sigs[i]:
+                    seen.add(sigs[i])
+        return rows.take(pa.array(out, pa.int64()))
 
-    kept = keys.groupBy("q__", "u__").applyInPandas(keep, f"q__ {types[query]}, p__ {types[pos]}")
-    return chunks.join(kept, (F.col(query) == F.col("q__")) & (F.col(pos) == F.col("p__"))).drop("q__", "p__")
+    return keyed.groupBy(query, url).applyInArrow(keep, keyed.schema).drop("sig_")
 
 
 def group_evidence(chunks: DataFrame, query: str, url: str, pos: str, text: str = "content") -> DataFrame:
-    """One row a page of a query: first non-empty text attributes, maxima of scores, chunks in order, `doc` numbers pages by first appearance."""
+    """One row a page of a query: first non-empty text attributes, maxima of scores, chunks in order, `doc` numbers pages by first appearance.
+
+    A chunk alike to an earlier one of its page is left out first, and updates nothing.
+    """
+    chunks = suppress_near_duplicates(chunks, query, url, pos, text)
     given = set(chunks.columns)
     first = [F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(pos))).alias(c) for c in _FIRST if c in given]
     tops = [F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("score", "semantic_score", "max_image_similarity", "web_fetch_quality_score") if c in given]

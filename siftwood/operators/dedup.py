@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,26 +33,24 @@ def dedup_docs(docs: DataFrame, query: str, url: str, signature: str, pos: str,
     """Keeps the first document of each canonical URL, and of documents alike to `threshold`, in order of `pos` within a query.
 
     A query holds tens of hits, so the order-dependent comparison with the documents kept so far runs on one query's
-    signatures (800 characters each) at a time; exact copies fall to windows before.
+    rows at a time. A dropped document leaves neither its URL nor its text behind.
     """
     ensure_importable(docs.sparkSession)
-    named = docs.withColumn("u_", F.when(F.col(url) == "", F.concat(F.lit("#"), F.col(pos).cast("string"))).otherwise(F.col(url)))
-    first = keep_first(named, [query, "u_"], [pos]).drop("u_")
-    keys = first.select(F.col(query).alias("q__"), F.col(pos).alias("p__"), F.col(signature).alias("s__"))
-
-    def fuzzy(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, out = Seen(threshold), []
-        for p, s in sorted(zip(pdf["p__"], pdf["s__"])):
-            if len(s) >= min_signature and seen.like(s):
+
+    def keep(rows: pa.Table) -> pa.Table:
+        seen, urls, out = Seen(threshold), set(), []
+        names, sigs = rows[url].to_pylist(), rows[signature].to_pylist()
+        for i in pc.sort_indices(rows[pos]).to_pylist():
+            s = sigs[i] or ""
+            if (names[i] and names[i] in urls) or (len(s) >= min_signature and seen.like(s)):
                 continue
-            out.append(p)
+            out.append(i)
+            urls.add(names[i])
             if s:
                 seen.add(s)
-        return pd.DataFrame({"q__": [pdf["q__"].iloc[0]] * len(out), "p__": out})
+        return rows.take(pa.array(out, pa.int64()))
 
-    types = dict(docs.dtypes)
-    kept = keys.groupBy("q__").applyInPandas(fuzzy, f"q__ {types[query]}, p__ {types[pos]}")
-    return first.join(kept, (F.col(query) == F.col("q__")) & (F.col(pos) == F.col("p__"))).drop("q__", "p__")
+    return docs.groupBy(query).applyInArrow(keep, docs.schema)
 
 
 def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float = 0.9, bands: int = 8, rows: int = 4, block: int = 256) -> DataFrame:

@@ -542,7 +542,7 @@ def _(t):
 def _(t):
     from siftwood.plans.retrieval import retrieve
 
-    return retrieve(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), t("pages"))
+    return retrieve(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), t("pages"), as_of=AS_OF)
 
 
 @query("retrieve_context")
@@ -550,7 +550,7 @@ def _(t):
     from siftwood.plans.retrieval import context_of, retrieve
 
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return context_of(retrieve(q, t("pages")), q)
+    return context_of(retrieve(q, t("pages"), as_of=AS_OF), q)
 
 
 @query("should_use_rag", f"SELECT conv_id, turn, reason, reason IN ('RAG_RISK_SIGNAL', 'NO_HIGH_CONFIDENCE_RULE_MATCH') AS use_rag FROM ({_ROUTE})")

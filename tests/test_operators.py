@@ -104,3 +104,54 @@ def test_offline_search_source(spark):
     assert sorted(r["query"] for r in got) == ["a", "b"]
     fresh = spark.read.format("siftwood_search").option("queries", '["a"]').load().where("freshness = 'oneDay'").collect()
     assert [r["freshness"] for r in fresh] == ["oneDay"]
+
+
+def test_diverse_topk_rejects_near_copies(spark):
+    t = "some evidence text that is long enough to be compared " * 4
+    df = spark.createDataFrame([(1, 1, "a", t, 0.9), (1, 2, "b", t + "x", 0.8), (1, 3, "c", "another passage altogether, on rivers and boats " * 4, 0.7)], "q int, i int, u string, content string, s double")
+    got = select.diverse_topk(df, "q", "u", "u", F.lit(True), [F.col("s").desc()], 3, text="content").orderBy("pick").collect()
+    assert [r["i"] for r in got] == [1, 3]
+
+
+def test_group_evidence_suppresses_near_copies(spark):
+    t = "some evidence text that is long enough to be compared " * 4
+    df = spark.createDataFrame([(1, "u", 1, 0, t, 0.5), (1, "u", 2, 1, t + "x", 0.9), (1, "v", 3, 0, t, 0.7)], "q int, u string, p long, chunk_id int, content string, score double")
+    got = {r["u"]: r for r in context.group_evidence(df, "q", "u", "p").collect()}
+    assert got["u"]["score"] == 0.5 and len(got["u"]["chunks"]) == 1 and len(got["v"]["chunks"]) == 1
+
+
+def test_retrieve_drops_mirrors_and_blends_signals(spark):
+    page = "<html><head><title>{t}</title></head><body><article><p>{b}</p></article></body></html>"
+    body = lambda w: f"alpha beta {w} " + " ".join(f"{w}{k}" for k in range(120))
+    rows = [(f"https://m{i:02d}.example.com/p", page.format(t="Copied", b="alpha beta gamma " + body("gamma"))) for i in range(60)]
+    rows += [(f"https://z{i}.example.com/p", page.format(t=f"Own {i}", b=body(w))) for i, w in enumerate(("river", "mountain"))]
+    pages, q = spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame([(1, "alpha beta gamma")], "query_id long, query string")
+    cfg = EngineConfig(candidate_k=3, top_k=3)
+    plain = retrieve(q, pages, cfg).collect()
+    # 60 mirrors fill the first 12 and 48 places; the other two pages must be reached
+    assert [sorted({r["canonical_url"] for r in plain if r["canonical_url"].startswith(f"https://{c}")})for c in "mz"] == [["https://m00.example.com/p"], ["https://z0.example.com/p", "https://z1.example.com/p"]]
+    seen = spark.createDataFrame([(1, "https://z1.example.com/p", "matched", "strong_match", 0.9)], "query_id long, canonical_url string, image_match_status string, image_match_decision string, max_image_similarity double")
+    with_image = {(r["canonical_url"], r["chunk_id"]): r["score"] for r in retrieve(q, pages, cfg, images=seen).collect()}
+    for r in plain:
+        more = 0.05 if "z1" in r["canonical_url"] else 0.0
+        if (key := (r["canonical_url"], r["chunk_id"])) in with_image:
+            assert abs(with_image[key] - r["score"] - more) < 1e-9
+    assert any("z1" in u for u, _ in with_image)
+
+
+def test_retrieve_counts_freshness(spark):
+    page = '<html><head><meta property="article:published_time" content="{d}"></head><body><article><p>alpha beta words here. ' + "more words of the page to read. " * 80 + "</p></article></body></html>"
+    rows = [("https://a.example.com/p", page.format(d="2024-02-10")), ("https://b.example.com/p", page.format(d="not a date").replace("more words", "rather different ones, and some others"))]
+    q = spark.createDataFrame([(1, "alpha beta")], "query_id long, query string")
+    pages = spark.createDataFrame(rows, "url string, html string")
+    base = {r["canonical_url"]: r for r in retrieve(q, pages).collect() if r["chunk_id"] == 0}
+    aged = {r["canonical_url"]: r for r in retrieve(q, pages, as_of="2024-02-15 00:00:00").collect() if r["chunk_id"] == 0}
+    gain = {u: round(aged[u]["score"] - base[u]["score"], 9) for u in base}
+    assert base["https://a.example.com/p"]["date_published"] == "2024-02-10"
+    assert gain == {"https://a.example.com/p": 0.04, "https://b.example.com/p": 0.0}
+
+
+def test_dedup_docs_forgets_urls_of_dropped_documents(spark):
+    a, b = "abcdefghij" * 12, "klmnopqrst" * 12
+    df = spark.createDataFrame([("q", "u1", a, 1), ("q", "u2", a[:-1] + "z", 2), ("q", "u2", b, 3)], "q string, u string, s string, p long")
+    assert sorted(r["p"] for r in dedup.dedup_docs(df, "q", "u", "s", "p").collect()) == [1, 3]
