@@ -155,3 +155,32 @@ def test_dedup_docs_forgets_urls_of_dropped_documents(spark):
     a, b = "abcdefghij" * 12, "klmnopqrst" * 12
     df = spark.createDataFrame([("q", "u1", a, 1), ("q", "u2", a[:-1] + "z", 2), ("q", "u2", b, 3)], "q string, u string, s string, p long")
     assert sorted(r["p"] for r in dedup.dedup_docs(df, "q", "u", "s", "p").collect()) == [1, 3]
+
+
+def test_dedup_corpus_equals_the_plain_greedy(spark):
+    from siftwood.functions.similar import Seen
+
+    rng = random.Random(5)
+    letter = lambda: chr(0x4E00 + rng.randrange(400))
+    base = "".join(letter() for _ in range(800))
+
+    def edited(s, n):
+        s = list(s)
+        for at in rng.sample(range(len(s)), n):
+            s[at] = rng.choice("ABCDEFGH")
+        return "".join(s)
+
+    # one group of more than 256 near copies, scattered edits about the bound, chains, short texts, and signatures that are never copies
+    rows = [edited(base, 3) for _ in range(300)] + [edited(base, n) for n in range(10, 60, 10)]
+    for _ in range(15):
+        own = "".join(letter() for _ in range(rng.choice((90, 180, 800))))
+        rows += [own, edited(own, len(own) // 30), edited(own, len(own) // 14)]
+    rows += ["short", "short", "", ""]
+    rng.shuffle(rows)
+    seen, want = Seen(0.9), []
+    for i, s in enumerate(rows):
+        if len(s) < 80 or not seen.like(s):
+            want.append(i)
+            seen.add(s) if s else None
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, s string")
+    assert sorted(r["id"] for r in dedup.dedup_corpus(df, "i", "s").collect()) == want
