@@ -279,8 +279,12 @@ def _(t):
 
 @query("dedup_docs")
 def _(t):
-    d = t("documents").select(F.concat("source", F.lit("/"), (F.col("doc_id") / 60).cast("int")).alias("query"), F.lit("").alias("url"), text.text_signature(F.col("text")).alias("signature"), F.col("doc_id").alias("pos"))
-    return dedup.dedup_docs(d, "query", "url", "signature", "pos").select("query", "pos")
+    from siftwood.sources.search import corpus_search
+
+    docs = t("documents").select("doc_id", "text")
+    hits = corpus_search(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), docs, 30)
+    d = hits.join(docs, "doc_id").select(F.col("query_id").alias("query"), F.lit("").alias("url"), text.text_signature(F.col("text")).alias("signature"), F.col("rank").alias("pos"), "doc_id")
+    return dedup.dedup_docs(d, "query", "url", "signature", "pos").select("query", "pos", "doc_id")
 
 
 @query("dedup_corpus")

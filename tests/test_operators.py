@@ -184,3 +184,12 @@ def test_dedup_corpus_equals_the_plain_greedy(spark):
             seen.add(s) if s else None
     df = spark.createDataFrame(list(enumerate(rows)), "i long, s string")
     assert sorted(r["id"] for r in dedup.dedup_corpus(df, "i", "s").collect()) == want
+
+
+def test_dedup_docs_query_groups_by_search_hits(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()["dedup_docs"](spark, sf).toPandas()
+    asked = {r["item_id"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert set(got["query"]) <= asked and got.groupby("query").size().max() > 4 and got["pos"].between(1, 30).all()
