@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwood import config
@@ -532,7 +532,12 @@ def _(t):
     import numpy as np
     import pandas as pd
 
-    rows = t("embeddings").where("vec_id < 400").select("label", "vec_id", F.slice("embedding", 1, 12).alias("s"))
+    rows = t("embeddings").select("label", "vec_id", F.col("embedding").alias("s"))
+    # a best assignment exists in which each slot takes one of its first as many rows as there are slots, as the other slots can't take them all
+    slots = rows.select("label", "vec_id", F.size("s").alias("n"), F.posexplode("s").alias("slot", "similarity"))
+    place = F.row_number().over(Window.partitionBy("label", "slot").orderBy(F.col("similarity").desc(), "vec_id"))
+    near = slots.withColumn("place", place).where("place <= n").select("label", "vec_id").distinct()
+    rows = rows.join(near, ["label", "vec_id"])
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")

@@ -39,3 +39,17 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_hungarian_takes_all_rows_and_components(spark):
+    import numpy as np
+
+    from siftwood.functions.model_text import assign
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    got = entry.queries()["hungarian"](spark, SF).toPandas()
+    for label, of_label in rows.groupby("label"):
+        s = np.array(of_label["embedding"].tolist(), float)
+        mine = got[got["label"] == label]
+        assert len(mine) == min(s.shape) and mine["slot"].nunique() == len(mine) == mine["vec_id"].nunique()
+        assert abs(mine["similarity"].sum() - sum(s[r][c] for r, c in assign(s))) < 1e-6
