@@ -483,7 +483,7 @@ def _(t):
 
 @query("entity_candidates")
 def _(t):
-    body = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.array(F.struct(F.col("role").alias("name"), F.lit(0.5).alias("confidence"), F.array(F.col("role"), F.lit("alias")).alias("aliases")), F.struct(F.substring("text", 1, 12).alias("name"), F.lit(2.0).alias("confidence"), F.array(F.lit("x")).alias("aliases"))).alias("candidates"))))
+    body = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.array(F.struct(F.col("role").alias("name"), F.lit(0.5).alias("confidence"), F.array(F.col("role"), F.lit("alias")).alias("aliases")), F.struct(F.col("text").alias("name"), F.lit(2.0).alias("confidence"), F.array(F.lit("x")).alias("aliases"))).alias("candidates"))))
     rows = t("conversations").select("conv_id", "turn", model_text.entity_candidates(body).alias("c"))
     return rows.select("conv_id", "turn", F.size("c").cast("long").alias("n"), F.array_join(model_text.candidate_variants(F.col("c")), "|").alias("variants"))
 

@@ -60,3 +60,11 @@ def test_blocks(spark):
     found = F.array(F.struct(F.lit("A").alias("name"), F.lit("t").alias("type"), F.array(F.lit("x")).alias("aliases")))
     row = spark.range(1).select(models.candidates_block(found).alias("c"), models.previous_block(F.array(F.lit("q"))).alias("p"), models.previous_block(F.array().cast("array<string>")).alias("n")).first()
     assert tuple(row) == ("1. A (t); aliases: x", "- q", "- none")
+
+
+def test_entity_candidates_take_whole_texts(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    longest = max(len(r["variants"]) for r in entry.queries()["entity_candidates"](spark, sf).collect())
+    assert longest > 60
