@@ -185,6 +185,15 @@ def _(t):
     return top.select("query_id", "label", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("vector_topk_all", ORACLES["vector_topk"].replace("WHERE vec_id < 3", "WHERE vec_id % 100 = 0"))
+def _(t):
+    e = t("embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    pairs = match.all_pairs(e.select("label", "vec_id", F.col("embedding").alias("vector")), q).withColumn("score", F.round(vectors.cosine(F.col("vector"), F.col("query_vector")), 6))
+    top = select.topk(pairs.drop("vector", "query_vector"), ["query_id", "label"], [F.col("score").desc(), F.col("vec_id")], 3)
+    return top.select("query_id", "label", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("multimodal_score", f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), p AS (SELECT embedding FROM embeddings WHERE vec_id IN (1, 2))
     SELECT e.vec_id, round(0.7::double * any_value({_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) + 1e-8)) + (1 - 0.7::double) * avg({_DOT.format(a='e.embedding', b='p.embedding')}), 6) AS score
     FROM embeddings e CROSS JOIN q CROSS JOIN p GROUP BY e.vec_id""")
