@@ -101,7 +101,7 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     comparisons. What is left then is compared pair by pair: a bucket is dealt into blocks, each pair of blocks is one unit.
     Only pairs that share no bucket are missed. The tables between rounds are written to the shared folder, which cuts their plans.
     """
-    from siftwood.llm.common import Scratch
+    from siftwood.storage import Scratch
 
     scratch, names = Scratch(docs.sparkSession, "dedup_corpus"), count()
     write = lambda df: scratch.write(df, f"table-{next(names)}")
