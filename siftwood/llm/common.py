@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.session import ensure_importable
+from siftwood.storage import Scratch
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,82 +19,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where none is set (tests), one is set here."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="siftwood-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def _delete(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    try:
-        if spark is not None and spark.sparkContext._jsc is not None:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended, and its shared folder is the cluster's to clean
-        pass
-
-
-class Scratch:
-    """A folder of written tables under the shared checkpoint folder.
-
-    The tables cut lineage: an executor lost later re-reads them instead of recomputing. Results read them lazily, so the folder stays
-    until `close()` (a result has it as `_siftwood_scratch`) or the end of the driver; `drop` frees what no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = ensure_importable(spark)
-        self.path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(_delete, weakref.ref(spark), self.path)
-
-    def close(self) -> None:
-        _delete(weakref.ref(self.spark), self.path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str) -> None:
-        """Frees a table that no later step reads."""
-        _delete(weakref.ref(self.spark), f"{self.path}/{name}")
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        df._siftwood_scratch = self
-        return df
-
-
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (u, v).
 
-    Alternating large-star and small-star rounds: each is two shuffles of the edges and the number of
-    rounds grows with the logarithm of the longest chain. Every round is written to shared storage.
-    Nodes without an edge to another node are left out.
+    Alternating large-star and small-star rounds; their number grows with the logarithm of the longest chain. Every round is written to
+    shared storage. The smallest neighbours are written too before they are joined: a written side is shuffled by itself, so where one node
+    has most of the edges, adaptive execution can split its partition. Nodes without an edge to another node are left out.
     """
     e = scratch.write(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), f"{name}-0")
     seen = None
     for k in range(1, max_rounds + 1):
         # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        low = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low-{k}")
+        large = scratch.write(both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct(), f"{name}-large-{k}")
         # small star: every smaller-or-equal neighbour of u, and u, go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least-{k}")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.selectExpr("x.v AS u", "x.m AS v").where("u <> v").distinct()
         e = scratch.write(small, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        for old in (f"{name}-{k - 1}", f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-least-{k}"):
+            scratch.drop(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.selectExpr("u AS node", "v AS component")

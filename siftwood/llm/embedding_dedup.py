@@ -4,7 +4,7 @@ Each of `TABLES` tables projects a vector to 16 Gaussian directions and decodes
 unit vector; the pair of points is the vector's cell. The vector also enters the four neighbouring cells nearest to it in
 either half. A pair at cosine 0.98 shares no cell of any table with probability 1e-5 (each table: 0.10, as simulated).
 Vectors that share a cell are verified by cosine in double precision, in bounded units of work that
-return counts and spanning forests, never a row for each pair.
+return counts and spanning forests, never a row for each pair. Vectors of a group above `BLOCK_ROWS` different ones are sent once for each block.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component, and any
 vector whose label or id is null, links with nothing and is its own component. Equal vectors of one label are linked; repeated
@@ -25,7 +25,7 @@ from siftwood.llm.blocks import block_units, candidate_pairs, dealt, forest, lea
 from siftwood.llm.common import Scratch, connected_components, groups, min_spread, with_roots
 
 TABLES, BLOCKS, CELL, PROBES = 5, 2, 1.25, 4
-BLOCK_ROWS, BLOCK_BYTES = 512, 16_000_000
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16_000_000
 
 
 @lru_cache(maxsize=8)
@@ -80,29 +80,30 @@ def _judge(threshold: float):
             if len(keep) < 2:
                 continue
             t, ids = t.take(pa.array(keep)), ids[keep]
-            ia, ib = candidate_pairs(t["side"].to_numpy(), bi != bj, leader, [np.array(x, np.int64) for x in t["leaders"].to_pylist()])
             rows, label, copies = t["embedding"].to_pylist(), t["label"].to_numpy(), t["copies"].to_numpy()
             dim = np.array([len(r) for r in rows])
-            ok = (label[ia] == label[ib]) & (dim[ia] == dim[ib])
-            ia, ib = ia[ok], ib[ok]
-            cos = np.zeros(len(ia))
-            for d in np.unique(dim):
-                own = np.flatnonzero(dim == d)
-                place = np.zeros(len(ids), np.int64)
-                place[own] = np.arange(len(own))
-                x = _unit([rows[i] for i in own])
-                all_cos = x @ x.T
-                at = dim[ia] == d
-                cos[at] = all_cos[place[ia[at]], place[ib[at]]]
-            ok = cos >= threshold
-            ia, ib = ia[ok], ib[ok]
-            if not len(ia):
-                continue
+            units = {d: _unit([rows[i] for i in np.flatnonzero(dim == d)]) for d in np.unique(dim)}
+            place = np.zeros(len(ids), np.int64)
+            for d in units:
+                place[dim == d] = np.arange(len(units[d]))
             n = len(ids)
-            weight = np.bincount(ia, copies[ib], n) + np.bincount(ib, copies[ia], n)
-            low = ids[forest(n, ia, ib, ids)]
+            weight, low = np.zeros(n), np.arange(n)
+            for ia, ib in candidate_pairs(t["side"].to_numpy(), bi != bj, leader, [np.array(x, np.int64) for x in t["leaders"].to_pylist()]):
+                ok = (label[ia] == label[ib]) & (dim[ia] == dim[ib])
+                ia, ib = ia[ok], ib[ok]
+                ok = np.zeros(len(ia), bool)
+                for d, x in units.items():
+                    at = np.flatnonzero(dim[ia] == d)
+                    if len(at):
+                        u, iu = np.unique(place[ia[at]], return_inverse=True)
+                        ok[at] = (x[u] @ x.T)[iu, place[ib[at]]] >= threshold
+                ia, ib = ia[ok], ib[ok]
+                if len(ia):
+                    weight += np.bincount(ia, copies[ib], n) + np.bincount(ib, copies[ia], n)
+                    low = forest(n, np.concatenate([np.arange(n), ia]), np.concatenate([low, ib]), ids)
             hit = np.flatnonzero(weight)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(weight[hit].astype(np.int64)), pa.array(low[hit])], ["id", "links", "low"])
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(weight[hit].astype(np.int64)), pa.array(ids[low[hit]])], ["id", "links", "low"])
 
     return run
 
@@ -117,9 +118,9 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_co
     good = v.where(valid)
     classes = scratch.write(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     buckets = classes.select("id", "label", "embedding").mapInArrow(_keys, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    led = scratch.write(leaders_of(scratch.write(buckets, "buckets")).join(classes.select("id", F.size("embedding").alias("d")), "id"), "led")
+    led = scratch.write(leaders_of(scratch.write(buckets, "buckets"), scratch).join(classes.select("id", F.size("embedding").alias("d")), "id"), "led")
     items = led.drop("d").join(classes, "id")
-    units = block_units(items, led.select("id", "leaders", (F.col("d") * 8).alias("cost")), BLOCK_ROWS, BLOCK_BYTES)
+    units = block_units(items, led.select("id", "leaders", (F.col("d") * 8).alias("cost")), BLOCK_ROWS, BLOCK_BYTES, scratch)
     found = scratch.write(dealt(units, min_spread(spark)).mapInArrow(_judge(threshold), "id long, links long, low long"), "found")
     comps = with_roots(connected_components(found.selectExpr("id AS u", "low AS v"), scratch)).withColumnRenamed("node", "id")
     of = classes.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(comps, "id", "left")

@@ -7,9 +7,10 @@ when the posterior probability (uniform prior) that its similarity reaches the t
 `tolerance`. What is left is verified exactly on whole sets.
 
 Pairs exist only inside bounded units of work (see `blocks`): a unit returns link counts and a
-spanning forest, so a group of m near copies costs rows in proportion to m.
+spanning forest, one row for each item that has a link. Items of a group above `BLOCK_ROWS` distinct sets are sent once for each block.
 
-Defined cases: words are lower-cased runs of non-white-space. A text of one to four words has one gram of all of them; a
+Defined cases: words are lower-cased runs of non-white-space. Very long texts take part whole, in a slice of their own. Ties do not arise:
+components and classes are named by their smallest id. A text of one to four words has one gram of all of them; a
 null or empty text has none and links with nothing. Equal sets are links. Rows without doc_id are
 returned, with class_id null when no copy has an id. Repeated rows are copies of each other; rows that
 repeat a doc_id with another text count as one document. Other columns are ignored.
@@ -32,7 +33,7 @@ from siftwood.llm.common import Scratch, connected_components, groups, min_sprea
 
 GRAM, THRESHOLD, BANDS, ROWS, STEP = 5, 0.8, 32, 4, 16
 HASHES = BANDS * ROWS
-BLOCK_ROWS, BLOCK_GRAMS = 512, 2_000_000
+BLOCK_ROWS, BLOCK_GRAMS = 2048, 2_000_000
 
 
 def _grams(column: pa.Array, k: int):
@@ -163,53 +164,61 @@ def fewest_matches(compared: int, threshold: float, tolerance: float) -> int:
     return compared
 
 
-def linked(sig: np.ndarray, sets: list[np.ndarray], ia: np.ndarray, ib: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs at or above the threshold: pruned by the posterior, then verified exactly."""
-    size = np.array([len(x) for x in sets], np.int64)
-    if len(ia):
+class Sets:
+    """The signatures and whole gram sets of a unit; `linked` judges pairs of them."""
+
+    def __init__(self, sig: np.ndarray, sets: list[np.ndarray]):
+        self.sig, self.sets = sig, sets
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.numbered: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def linked(self, ia: np.ndarray, ib: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs at or above the threshold: pruned by the posterior, then verified exactly."""
+        size, sig = self.size, self.sig
         small, large = np.minimum(size[ia], size[ib]), np.maximum(size[ia], size[ib])
         ok = small >= threshold * large - 1e-9
         ia, ib = ia[ok], ib[ok]
-    same = np.zeros(len(ia), np.int32)
-    for k in range(0, sig.shape[1], STEP):
+        same = np.zeros(len(ia), np.int32)
+        for k in range(0, sig.shape[1], STEP):
+            if not len(ia):
+                return ia, ib
+            same += (sig[ia, k : k + STEP] == sig[ib, k : k + STEP]).sum(1, dtype=np.int32)
+            ok = same >= fewest_matches(k + STEP, threshold, tolerance)
+            ia, ib, same = ia[ok], ib[ok], same[ok]
         if not len(ia):
-            break
-        same += (sig[ia, k : k + STEP] == sig[ib, k : k + STEP]).sum(1, dtype=np.int32)
-        ok = same >= fewest_matches(k + STEP, threshold, tolerance)
-        ia, ib, same = ia[ok], ib[ok], same[ok]
-    if not len(ia):
-        return ia, ib
-    used = np.unique(np.concatenate([ia, ib]))
-    order = np.argsort(ia, kind="stable")
-    ia, ib = ia[order], ib[order]
-    both = np.empty(len(ia), np.int64)
-    if len(ia) < 4 * len(used):
+            return ia, ib
+        both = self._sparse(ia, ib) if len(ia) < len(self.sets) else self._dense(ia, ib)
+        ok = both >= threshold * (size[ia] + size[ib] - both) - 1e-9
+        return ia[ok], ib[ok]
+
+    def _sparse(self, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+        both = np.empty(len(ia), np.int64)
         for p in range(len(ia)):
-            x, y = sets[ia[p]], sets[ib[p]]
+            x, y = self.sets[ia[p]], self.sets[ib[p]]
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both[p] = np.count_nonzero(y[at] == x)
-    else:  # dense: number the grams of the unit once, then mark one set and count over all of its partners
-        flat, inv = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum(size[used])])
-        place = np.full(len(sets), -1)
-        place[used] = np.arange(len(used))
-        mark = np.zeros(len(flat), np.int32)
+        return both
+
+    def _dense(self, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+        """Grams are numbered once a unit; one set is marked and counted over all of its partners. Pairs come sorted by their first."""
+        if self.numbered is None:
+            flat, inv = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.numbered = inv.astype(np.int32), np.concatenate([[0], np.cumsum(self.size)]), np.zeros(len(flat), np.int32)
+        inv, cuts, mark = self.numbered
+        both = np.empty(len(ia), np.int64)
         edges = np.flatnonzero(np.concatenate([[True], ia[1:] != ia[:-1], [True]]))
         for s, e in zip(edges, edges[1:]):
-            u = place[ia[s]]
-            own = inv[cuts[u] : cuts[u + 1]]
+            own = inv[cuts[ia[s]] : cuts[ia[s] + 1]]
             mark[own] = 1
-            lo = place[ib[s:e]]
-            if (e - s) * 2 > len(used):
-                both[s:e] = np.add.reduceat(mark[inv], cuts[:-1])[lo]
+            if (e - s) * 2 > len(self.sets):
+                both[s:e] = np.add.reduceat(mark[inv], cuts[:-1])[ib[s:e]]
             else:
-                both[s:e] = [mark[inv[cuts[v] : cuts[v + 1]]].sum() for v in lo]
+                both[s:e] = [mark[inv[cuts[v] : cuts[v + 1]]].sum() for v in ib[s:e]]
             mark[own] = 0
-    ok = both >= threshold * (size[ia] + size[ib] - both) - 1e-9
-    return ia[ok], ib[ok]
+        return both
 
 
 def _judge(threshold: float, tolerance: float):
@@ -224,16 +233,19 @@ def _judge(threshold: float, tolerance: float):
             sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
             leaders = [np.array(x, np.int64) for x in t["leaders"].to_pylist()]
             copies = t["copies"].to_numpy()
-            ia, ib = candidate_pairs(t["side"].to_numpy(), bi != bj, leader, leaders)
-            ia, ib = linked(sig, sets, ia, ib, threshold, tolerance)
-            if not len(ia):
+            unit, n = Sets(sig, sets), len(ids)
+            links, weight, low = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
+            for ia, ib in candidate_pairs(t["side"].to_numpy(), bi != bj, leader, leaders):
+                ia, ib = unit.linked(ia, ib, threshold, tolerance)
+                if not len(ia):
+                    continue
+                links += np.bincount(ia, minlength=n) + np.bincount(ib, minlength=n)
+                weight += np.bincount(ia, copies[ib], n) + np.bincount(ib, copies[ia], n)
+                low = forest(n, np.concatenate([np.arange(n), ia]), np.concatenate([low, ib]), ids)
+            if not links.any():
                 continue
-            n = len(ids)
-            links = np.bincount(ia, minlength=n) + np.bincount(ib, minlength=n)
-            weight = np.bincount(ia, copies[ib], n) + np.bincount(ib, copies[ia], n)
-            low = ids[forest(n, ia, ib, ids)]
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(weight[hit].astype(np.int64)), pa.array(low[hit])], ["id", "classes", "links", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(weight[hit].astype(np.int64)), pa.array(ids[low[hit]])], ["id", "classes", "links", "low"])
 
     return run
 
@@ -250,9 +262,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = sketch.where("n > 0")
     classes = scratch.write(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("keys").alias("keys")), "classes")
     buckets = classes.where("id IS NOT NULL").select("id", F.explode("keys").alias("key"))
-    led = scratch.write(leaders_of(buckets).join(classes.select("id", "h1", "h2", "copies", "n"), "id"), "led")
+    led = scratch.write(leaders_of(buckets, scratch).join(classes.select("id", "h1", "h2", "copies", "n"), "id"), "led")
     items = shuffled(led).join(d.withColumnRenamed("doc_id", "id"), "id").select("id", "leaders", "copies", "h1", "h2", "text").mapInArrow(_sets(gram), "id long, leaders array<long>, copies long, sig binary, grams binary")
-    units = dealt(block_units(items, led.select("id", "leaders", F.col("n").alias("cost")), BLOCK_ROWS, BLOCK_GRAMS), parts)
+    units = dealt(block_units(items, led.select("id", "leaders", F.col("n").alias("cost")), BLOCK_ROWS, BLOCK_GRAMS, scratch), parts)
     judged = units.mapInArrow(_judge(threshold, tolerance), "id long, classes long, links long, low long")
     found = scratch.write(judged, "found")
     stats = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -274,9 +286,9 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     joined = ngram_jaccard_join(docs, id_col, text_col, **options)
     verdict = joined.where("doc_id IS NOT NULL AND kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(shuffled(verdict), docs[id_col].cast("long") == F.col("__kept_id"))
+    kept = docs.join(shuffled(verdict), F.col(id_col).cast("long") == F.col("__kept_id"))
     first = F.row_number().over(Window.partitionBy("__kept_id").orderBy(F.xxhash64(text_col)))
-    out = kept.withColumn("__rank", first).where("__rank = 1").select(*[docs[c] for c in docs.columns])
+    out = kept.withColumn("__rank", first).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
     out = out.unionByName(docs.where(F.col(id_col).isNull()))
     out._siftwood_scratch = joined._siftwood_scratch
     return out
