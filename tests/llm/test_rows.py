@@ -52,6 +52,71 @@ def test_mixing_keeps_targets(spark):
     assert mix_sources(df.limit(0)).count() == 0 and mix_documents(df.limit(0)).count() == 0
 
 
+def _plain_mix(spark, df, seed=11, block=mixing.BLOCK):
+    """The mix in plain Python: the engine's hashes name the documents, everything else is done here."""
+    from collections import defaultdict
+
+    units = [r.asDict() for r in mixing._units(df, "doc_id", "text", "source").select("*", F.xxhash64(F.lit(seed), "k1", "k2", "ordinal").alias("a"), F.xxhash64(F.lit(seed + 1), "ordinal", "k1", "k2").alias("b")).collect()]
+    sizes = defaultdict(int)
+    for u in units:
+        sizes[u["source"]] += u["size"]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, source_targets([(s, sizes[s]) for s in names], (3, 1, 2), 1.5, 2.0)))
+    n_blocks = {s: -(-sum(u["source"] == s for u in units) // block) for s in names}
+    for u in units:
+        rate = target[u["source"]] / sizes[u["source"]] if sizes[u["source"]] else 0.0
+        u["whole"] = int(rate + 1e-12)
+        u["p"], u["block"] = max(0.0, rate - u["whole"]), u["b"] % max(1, n_blocks[u["source"]])
+    live = [u for u in units if u["size"] > 0 and u["p"] > 1e-12]
+    level, widest = 0, max(n_blocks.values())
+    while True:
+        met = defaultdict(list)
+        for u in live:
+            met[u["source"], u["block"]].append(u)
+        for group in met.values():
+            group.sort(key=lambda u: (u["size"], u["a"], u["b"]))
+            out, _ = mixing.pivot([u["size"] for u in group], [u["p"] for u in group], [u["a"] for u in group], seed + level)
+            for u, x in zip(group, out):
+                u["p"] = x
+        live = [u for u in live if 0 < u["p"] < 1]
+        if widest == 1:
+            break
+        widest, level = -(-widest // mixing.FAN), level + 1
+        for u in live:
+            u["block"] //= mixing.FAN
+    assert len(live) <= len(names)  # one undecided document a source, which is drawn alone
+    last = {(u["a"], u["b"]) for u in live}
+    return {(u["a"], u["b"]): (u["doc_id"], u["size"], None if (u["a"], u["b"]) in last else (u["whole"] + int(u["p"])) * (u["size"] > 0)) for u in units}
+
+
+def test_mixing_equals_plain_pivots_on_any_layout(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "a", "b"])) for i in range(9000)] + [(3, "same", "b")] * 40 + [(None, "same", "b")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (mixing.BLOCK, 50):
+        want = sorted(map(str, mix_sources(df, block=block).collect()))
+        for n in (3, 7):
+            assert sorted(map(str, mix_sources(df.repartition(n), block=block).collect())) == want
+        df.repartition(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
+        assert sorted(map(str, mix_sources(spark.read.parquet(f"{tmp_path}/t"), block=block).collect())) == want
+        plain = _plain_mix(spark, df, block=block)
+        got = mixing._mixed(df, mixing.Scratch(spark, "t"), (3, 1, 2), 1.5, 2.0, 11, block, "doc_id", "text", "source").select("doc_id", "size", "copies", F.xxhash64(F.lit(11), "k1", "k2", "ordinal").alias("a"), F.xxhash64(F.lit(12), "ordinal", "k1", "k2").alias("b")).collect()
+        assert len(got) == len(plain)
+        for r in got:
+            doc_id, size, copies = plain[r["a"], r["b"]]
+            assert (r["doc_id"], r["size"]) == (doc_id, size) and copies in (None, r["copies"])
+
+
+def test_mixing_numbers_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 8)
+    monkeypatch.setattr(mixing, "SALTS", 4)
+    df = spark.createDataFrame([(1, "one two three", "b")] * 300 + [(i, "x " * i, "b") for i in range(2, 30)] + [(40, "a " * 1000, "a")], "doc_id long, text string, source string").withColumn("a.b", F.lit(1))
+    got = mix_sources(df).where("doc_id = 1").collect()
+    assert len(got) == 300 and len({r["copies"] for r in got}) == 2
+    kept = mix_documents(df)
+    assert kept.columns == df.columns and kept.where("doc_id = 1").count() == sum(r["copies"] for r in got)
+
+
 def test_pivot_keeps_words_and_expectations():
     sizes, p = [5.0, 9.0, 2.0, 30.0, 7.0, 1.0], [0.4] * 6
     seen = [0.0] * 6
