@@ -52,6 +52,22 @@ def with_roots(components: DataFrame) -> DataFrame:
     return components.unionByName(components.selectExpr("component AS node", "component").distinct())
 
 
+#: Equal rows that one task numbers at once.
+STEP = 4096
+
+
+def numbered(counted: DataFrame, keys: list[str], step: int | None = None) -> DataFrame:
+    """A row for each of the n equal rows that a row (keys, n, others) counts, with `ordinal` from 0 to n - 1.
+
+    A large n is dealt out in steps before it becomes rows, so equal rows never pass through one task, and the numbers don't depend on the layout.
+    """
+    step, one = step or STEP, F.lit(0).cast("long")
+    few = counted.where(F.col("n") <= step).withColumn("ordinal", F.explode(F.sequence(one, F.col("n") - 1)))
+    parts = counted.where(F.col("n") > step).withColumn("from_", F.explode(F.sequence(one, F.col("n") - 1, F.lit(step).cast("long"))))
+    many = parts.repartition(*keys, "from_").withColumn("ordinal", F.explode(F.sequence(F.col("from_"), F.least(F.col("from_") + step, F.col("n")) - 1))).drop("from_")
+    return few.unionByName(many)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """Marks a side of a join whose size grows with the data: it is never broadcast, so the plan is the same at every size."""
     return df.hint("merge")

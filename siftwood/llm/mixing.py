@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwood.llm.common import WORD, Scratch
+from siftwood.llm.common import WORD, Scratch, numbered
 
 MAX_SOURCES = 200_000
-#: Documents of a block, undecided documents that meet in the next one, equal rows that are numbered at once, and parts of a key.
-BLOCK, FAN, STEP, SALTS = 4096, 64, 4096, 256
+#: Documents of a block, undecided documents that meet in the next one, and parts of a key.
+BLOCK, FAN, SALTS = 4096, 64, 256
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: Sequence[float], budget: float, most: float) -> list[float]:
@@ -117,14 +117,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, head: s
 def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(k1, k2, doc_id, source, size, n, ordinal): a row for each document, equal ones numbered.
 
-    Equal rows are counted, not collected; a large number of them is dealt out in steps before it becomes rows again.
+    Equal rows are counted, not collected.
     """
     thin = _keyed(docs, id_col, text_col, source_col, "u_").select([F.col(f"u_{c}").alias(c) for c in (*_KEY, "doc_id", "source", "size")])
     counted = thin.groupBy(*_KEY, "doc_id", "source", "size").agg(F.count("*").alias("n"))
-    few = counted.where(F.col("n") <= STEP).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    parts = counted.where(F.col("n") > STEP).withColumn("from_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STEP).cast("long"))))
-    many = parts.repartition(*_KEY, "from_").withColumn("ordinal", F.explode(F.sequence(F.col("from_"), F.least(F.col("from_") + STEP, F.col("n")) - 1))).drop("from_")
-    return few.unionByName(many)
+    return numbered(counted, _KEY)
 
 
 def _mixed(docs: DataFrame, scratch: Scratch, weights: Sequence[float], budget: float, most: float, seed: int, block: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
