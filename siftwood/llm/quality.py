@@ -7,11 +7,13 @@ Each slot is scaled by its smoothed log-count ratio between the classes; a hinge
 dual coordinate descent and its margins are calibrated to probabilities on a quarter of the sample that the descent didn't see.
 
 The fit takes at most `SAMPLE` labelled rows, the first in hash order of the training ids (bounded, so they are broadcast
-to find their texts); it runs in one task. Every whole text is scored.
+to find their texts), and of these, in the same order, whole texts of at most `SAMPLE_BYTES` together. It runs in one task, which reads the texts as a stream
+and holds their indicators only. Every whole text is scored.
 
 Defined cases: a null or empty text has the indicator of no words and gets a score. Null labels are ignored; of repeated
 labels of an id the largest counts. Without labels of both classes every score is 1 (nothing to reject by) or,
-with class 0 alone, 0. Rows without an id are scored and not held out. Repeated rows get equal scores.
+with class 0 alone, 0. Rows without an id are scored and not held out. Repeated rows get equal scores. Long texts
+are scored whole, in a slice of their own. Ties don't arise: a score depends on the text alone. Other columns are ignored by the scores and kept by `keep_quality`.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from siftwood.llm import kernel
 from siftwood.session import ensure_importable
 
-BITS, SAMPLE, EPOCHS, COST, ALPHA = 18, 16_000, 12, 1.0, 1.0
+BITS, EPOCHS, COST, ALPHA = 18, 12, 1.0, 1.0
+#: The sample that is fitted on: labelled rows, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 16_000, 256_000_000
 DIM = 1 << BITS
 _STEPS = np.array([1 / 64, 1 / 16, 1 / 4, 1 / 2, 3 / 4])
 
@@ -104,19 +108,24 @@ def _shares(doc: np.ndarray, h: np.ndarray, salt: int, total: np.ndarray) -> tup
     return d, sl, c / total[d]
 
 
-def fit(texts: list, labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, float, float]:
-    """(weights, slope, offset): score = 1 / (1 + exp(-(slope * margin + offset)))."""
+def indicators(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, values) of each text."""
     rows: list = [None] * len(texts)
-    for a, n, d, sl, v in features(pa.array(texts, pa.string())):
+    for a, n, d, sl, v in features(texts):
         order = np.argsort(d, kind="stable")
         cuts = np.searchsorted(d[order], np.arange(n + 1))
         for k in range(n):
             own = order[cuts[k] : cuts[k + 1]]
             rows[a + k] = (sl[own], v[own])
+    return rows
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, float, float]:
+    """(weights, slope, offset): score = 1 / (1 + exp(-(slope * margin + offset)))."""
     y = np.where(labels > 0, 1.0, -1.0)
-    train = np.arange(len(texts)) % 4 != 3
+    train = np.arange(len(rows)) % 4 != 3
     if len(set(y[train])) < 2 or len(set(y[~train])) < 2:
-        train = np.ones(len(texts), bool)
+        train = np.ones(len(rows), bool)
     counts = np.full((2, DIM), ALPHA)
     for k in np.flatnonzero(train):
         counts[int(y[k] > 0), np.unique(rows[k][0])] += 1
@@ -125,7 +134,7 @@ def fit(texts: list, labels: np.ndarray, epochs: int = EPOCHS, cost: float = COS
     w, bias = np.zeros(DIM), 0.0
     share = np.array([(y[train] < 0).mean(), (y[train] > 0).mean()])
     limit = {s: cost * 0.5 / max(share[int(s > 0)], 1e-3) for s in (-1.0, 1.0)}
-    alpha = np.zeros(len(texts))
+    alpha = np.zeros(len(rows))
     norm = np.array([float(v @ v) + 1.0 for _, v in rows])
     rng = np.random.default_rng(5)
     for _ in range(epochs):
@@ -142,7 +151,7 @@ def fit(texts: list, labels: np.ndarray, epochs: int = EPOCHS, cost: float = COS
                 alpha[k] = new
         if moved < 1e-4:
             break
-    rest = np.flatnonzero(~train) if (~train).any() else np.arange(len(texts))
+    rest = np.flatnonzero(~train) if (~train).any() else np.arange(len(rows))
     margin = np.array([float(w[rows[k][0]] @ rows[k][1]) + bias for k in rest])
     slope, offset = _calibrate(margin, y[rest] > 0)
     return w * ratio, slope, offset + slope * bias
@@ -177,31 +186,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _fit_task(batches):
-    ids, texts, labels = [], [], []
-    for batch in batches:
-        ids += batch.column(0).to_pylist()
-        texts += batch.column(1).to_pylist()
-        labels += batch.column(2).to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or ""))
-    y = np.array([labels[k] for k in order], np.int64)
-    if len(set(y.tolist())) < 2:
-        w, slope, offset = np.zeros(DIM), 0.0, (-1e9 if len(y) and not y.any() else 1e9)
-    else:
-        w, slope, offset = fit([texts[k] for k in order], y)
-    yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([slope]), pa.array([offset])], ["w", "slope", "offset"])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float, float]:
-    """Fits on at most `sample` labelled rows whose ids are not held out."""
+def _fit_task(most: int):
+    def run(batches):
+        rows, labels, used = [], [], 0
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)) + used
+            n = int(np.searchsorted(sizes, most, side="right"))
+            rows += indicators(batch.column(0).slice(0, n))
+            labels += batch.column(1).slice(0, n).to_pylist()
+            if n < batch.num_rows:
+                break
+            used = int(sizes[-1]) if n else used
+        y = np.array(labels, np.int64)
+        if len(set(labels)) < 2:
+            w, slope, offset = np.zeros(DIM), 0.0, (-1e9 if len(y) and not y.any() else 1e9)
+        else:
+            w, slope, offset = fit(rows, y)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([slope]), pa.array([offset])], ["w", "slope", "offset"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float, float]:
+    """Fits on at most `sample` labelled rows whose ids are not held out, and at most `sample_bytes` of their texts."""
     ensure_importable(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max(F.col(label_col)).cast("int").alias("l_y"))
     picked = marked.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     # at most `sample` pairs of numbers, so they are broadcast; repeated ids keep one text each
     found = docs.select(F.col(id_col).cast("long").alias("l_id"), F.col(text_col).cast("string").alias("l_text")).join(F.broadcast(picked), "l_id")
-    found = found.groupBy("l_id").agg(F.min("l_text").alias("l_text"), F.first("l_y").alias("l_y")).select(F.xxhash64("l_id").alias("h"), "l_text", "l_y")
-    row = found.coalesce(1).mapInArrow(_fit_task, "w binary, slope double, offset double").first()
+    found = found.groupBy("l_id").agg(F.min("l_text").alias("l_text"), F.first("l_y").alias("l_y")).select(F.xxhash64("l_id").alias("h"), "l_id", "l_text", "l_y")
+    ordered = found.repartition(1).sortWithinPartitions("h", "l_id").select("l_text", "l_y")
+    row = ordered.mapInArrow(_fit_task(sample_bytes), "w binary, slope double, offset double").first()
     if row is None:
         return np.zeros(DIM, np.float32), 0.0, 1e9
     return np.frombuffer(row["w"], np.float32), row["slope"], row["offset"]

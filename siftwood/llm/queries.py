@@ -118,6 +118,19 @@ SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM l WHERE l.a = doc_id A
 FROM documents JOIN c ON c.a = doc_id
 """
 
+#: Every diagonal of every pair. A stretch from the i-th to the j-th match of a diagonal, at places q, scores 3 (j - i + 1) - 2 (q_j - q_i + 1).
+_PLAIN_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_OP3_SQL = rf"""
+WITH dx AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM (SELECT doc_id, {_PLAIN_SQL} AS ws FROM documents)),
+ix AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q FROM (SELECT item_id, {_PLAIN_SQL} AS ws FROM benchmark)),
+c AS (SELECT doc_id, item_id, n, p - q AS diagonal, count(*) AS matched FROM dx JOIN ix USING (w) GROUP BY ALL HAVING count(*) = n OR (n >= 7 AND count(*) >= least(0.6 * n, 5))),
+m AS (SELECT c.*, q, row_number() OVER g AS r FROM c JOIN ix USING (item_id) JOIN dx ON dx.doc_id = c.doc_id AND dx.p = q + diagonal AND dx.w = ix.w WINDOW g AS (PARTITION BY c.doc_id, c.item_id, diagonal ORDER BY q)),
+f AS (SELECT *, 3 * r - 2 * q - min(3 * r - 2 * q) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q ROWS UNBOUNDED PRECEDING) + 1 AS score FROM m),
+j AS (SELECT doc_id, item_id, n, diagonal, matched, max(score) AS score FROM f GROUP BY ALL HAVING matched = n OR matched >= 0.6 * n OR max(score) >= 13)
+SELECT doc_id, item_id, n::BIGINT AS n_item_words, matched::BIGINT AS n_matched, score::BIGINT AS score, greatest(0, diagonal)::BIGINT AS first_word FROM j
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, score DESC, greatest(0, diagonal)) = 1
+"""
+
 _OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
 p AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(ws) - 48)) AS r(i)),
@@ -137,6 +150,7 @@ SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = reach.a)::BIGINT AS n_li
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": _OP1_SQL,
+    "op3_decontaminate": _OP3_SQL,
     "op5_reply_trees": _OP5_SQL,
     "op8_substring_dedup": _OP8_SQL,
     "op9_embedding_dedup": _OP9_SQL,

@@ -9,8 +9,9 @@ Template: `<turn ROLE>TEXT</turn>` and a line feed for each message. In roles an
 that could form a control string are written as codes: \\ as \\b, < as \\l, > as \\g, # as \\h. Unescaping is exact, and no text can open or close a turn.
 
 Defined cases: null texts and roles are empty; a null score is 0. A parent that is null, missing, or the message itself makes a root. Messages on a
-cycle of parents belong to no tree and yield no path. Repeated (tree, message) ids keep one row, the smallest by role and text. Ties of scores go to
-the smallest leaf id. Null tree ids are one tree. An empty table gives an empty result.
+cycle of parents, and messages that hang off one, belong to no tree and yield no path. Repeated (tree, message) ids keep one row, the smallest by role and text,
+the smallest parent and the largest score. Ties of scores go to the smallest leaf id. Null tree ids are one tree. Texts of any length are formatted whole; one conversation must fit
+in a row. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,8 +98,8 @@ def format_paths(messages: DataFrame, paths: int = 1, scratch: Scratch | None =
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds what the formatted conversation says: turns (role, text), and loss_text, all text under the loss spans, unescaped."""
-    pieces = f"filter(split(formatted, {_lit(END)}), (p, i) -> i < n_turns)"
+    """Adds what the formatted conversation itself says: turns (role, text), read from `formatted` alone, and loss_text, all text under the loss mask, unescaped."""
+    pieces = f"filter(split(formatted, {_lit(END)}, -1), (p, i) -> p LIKE '<turn %')"
     turn = f"transform({pieces}, p -> struct({unescaped('substr(p, 7, locate(' + chr(39) + '>' + chr(39) + ', p) - 7)')} AS role, {unescaped('substr(p, locate(' + chr(39) + '>' + chr(39) + ', p) + 1)')} AS text))"
     loss = f"array_join(transform(loss, s -> {unescaped('substr(formatted, CAST(s.start AS INT), CAST(s.len AS INT))')}), '')"
     return formatted.withColumn("turns", F.expr(turn)).withColumn("loss_text", F.expr(loss))
@@ -119,7 +120,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return scratch.keep(
         back.select(
             F.col("tree").alias("conv_id"),
-            "n_turns",
+            F.size("turns").cast("long").alias("n_turns"),
             F.expr("sha2(array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), ''), 256)").alias("turns_sha256"),
             F.expr("CAST(length(loss_text) AS BIGINT)").alias("loss_chars"),
             F.expr("sha2(loss_text, 256)").alias("loss_sha256"),

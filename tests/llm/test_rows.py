@@ -215,34 +215,66 @@ def test_sharding_does_not_depend_on_layout(spark, monkeypatch):
     assert len(want) == len(rows) and want == sorted(map(str, shard_documents(df.repartition(7)).collect()))
 
 
-def _bench_rows(rng):
-    return [(i, " ".join(prose(rng, rng.randrange(15, 50), 5000)).capitalize() + ".") for i in range(12)] + [(50, "too short to seed"), (51, None)]
-
-
-def test_decontamination(spark):
+def _plain_words(t):
+    return re.sub(r"[!-/:-@\[-`{-~]+", "", (t or "").lower()).split()
+
+
+def _plain_overlaps(rows, items, share=0.6, stretch=13):
+    """The best diagonal of each pair, of all diagonals, and whether a mask fits it: {(doc_id, item_id): (n, matched, score, first)}."""
+    from siftwood.llm.decontaminate import MASKS, SHORTEST
+
+    out, seeded = {}, set()
+    for doc_id, text in rows:
+        d = _plain_words(text)
+        for item_id, item in items:
+            w = _plain_words(item)
+            n = len(w)
+            for g in range(1 - n, len(d)):
+                same = [0 <= g + j < len(d) and d[g + j] == w[j] for j in range(n)]
+                here = best = 0
+                for x in same:
+                    here = max(0, here + (1 if x else -2))
+                    best = max(best, here)
+                if n and (all(same) or (n >= SHORTEST and (sum(same) >= share * n or best >= stretch))):
+                    if n < SHORTEST or any(j + m[-1] < n and all(same[j + k] for k in m) for m in MASKS for j in range(n)):
+                        seeded.add((doc_id, item_id))
+                        out[doc_id, item_id] = max(out.get((doc_id, item_id), (n, -1, 0, 0)), (n, sum(same), best, -max(0, g)))
+                    else:
+                        out.setdefault((doc_id, item_id), (n, -1, 0, 0))
+    return {k: (v[0], v[1], v[2], -v[3]) for k, v in out.items() if k in seeded}, len(out)
+
+
+def test_decontamination_matches_brute_force(spark):
     rng = random.Random(11)
-    items = _bench_rows(rng)
+    items = [(i, " ".join(prose(rng, rng.randrange(15, 50), 5000)).capitalize() + ".") for i in range(12)]
+    items += [(50, "too short to seed"), (51, None), (52, "zymurgy"), (53, ""), (54, "..."), (55, "seven words make the shortest mask fit"), (56, "again " * 9)]
     rows, planted = [], set()
-    for i in range(120):
+    for i in range(240):
         w = prose(rng, rng.randrange(0, 120), 5000)
         if i % 3 == 0:
             item, t = items[rng.randrange(12)]
             piece = t.split()
-            if i % 2:
-                for k in range(rng.randrange(3), len(piece), 5):  # every fifth word differs
-                    piece[k] = "zzz"
+            step = (0, 3, 4, 5)[i // 3 % 4]
+            for k in range(rng.randrange(3), len(piece) if step else 0, step or 1):  # every third, fourth or fifth word differs
+                piece[k] = "zzz"
             cut = rng.randrange(len(w) + 1)
             w = w[:cut] + piece + w[cut:]
             planted.add((i, item))
+        elif i % 3 == 1 and i % 2:  # words differ at random
+            piece = [x if rng.random() < 0.75 else "yyy" for x in items[rng.randrange(12)][1].split()]
+            w = w + piece
         rows.append((i, " ".join(w)))
-    rows += [(120, None), (121, ""), (None, items[0][1])]
-    df, bench = docs_of(spark, rows).withColumn("seed", F.lit(1)).withColumn("words", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    rows += [(300, None), (301, ""), (None, items[0][1]), (302, "it was too short, to seed!"), (303, "too short"), (304, "one Zymurgy."), (305, "again " * 200), (306, "seven words make the shortest mask fit"), (307, "word " * 30_000 + items[1][1]), (0, rows[0][1]), (0, rows[0][1])]
+    want, every = _plain_overlaps([r for r in dict(rows).items() if r[0] != 307], items)
+    assert {p for p in planted if p not in want} == set() and len(want) >= 0.97 * every
+    df, bench = docs_of(spark, rows).withColumn("seed", F.lit(1)).withColumn("words", F.lit("x")).withColumn("a.b", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
     got = find_overlaps(df, bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == planted | {(None, 0)}
+    assert {(r["doc_id"], r["item_id"]): (r["n_item_words"], r["n_matched"], r["score"], r["first_word"]) for r in got if r["doc_id"] != 307} == want
+    assert len(got) == len(want) + 1 and (307, 1) in {(r["doc_id"], r["item_id"]) for r in got}
     other = find_overlaps(df, bench, broadcast_seeds=0).collect()
     assert sorted(map(str, got)) == sorted(map(str, other))
     kept = drop_contaminated(df, bench)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i is not None} - {i for i, _ in planted}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if i is not None} - {r["doc_id"] for r in got}
     assert find_overlaps(df.limit(0), bench).count() == 0 and find_overlaps(df, bench.limit(0)).count() == 0
 
 
@@ -284,6 +316,37 @@ def test_reply_trees(spark):
     assert format_paths(m.limit(0)).count() == 0
 
 
+def test_paths_match_brute_force(spark):
+    rng, rows = random.Random(41), []
+    for tree in range(30):
+        n = rng.randrange(1, 40)
+        for node in range(n):
+            parent = None if node == 0 or rng.random() < 0.05 else rng.randrange(node) if rng.random() < 0.7 else node - 1
+            rows.append((tree, node, parent, rng.choice(["user", "assistant"]), f"t{node} </turn> <{tree}", rng.choice([0.1, 0.5, 0.9])))
+    rows += [(99, 1, 2, "a", "cycle", 1.0), (99, 2, 1, "b", "cycle", 1.0), (99, 3, 2, "c", "hangs off it", 1.0)]
+    by = {(t, n): (p, r, x, s) for t, n, p, r, x, s in rows}
+    want = {}
+    for tree in range(30):
+        own = [n for t, n in by if t == tree]
+        leaves = [n for n in own if not any(by[tree, m][0] == n for m in own)]
+        found = []
+        for leaf in leaves:
+            path = [leaf]
+            while by[tree, path[-1]][0] is not None:
+                path.append(by[tree, path[-1]][0])
+            found.append((-sum(by[tree, n][3] for n in path) / len(path), leaf, path[::-1]))
+        found.sort(key=lambda f: (round(f[0], 9), f[1]))
+        for k, (_, _, path) in enumerate(found[:2]):
+            want[tree, k + 1] = [(by[tree, n][1], by[tree, n][2]) for n in path]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").withColumn("a.b", F.lit(1))
+    m = m.withColumn("score", (F.col("score") * 10).cast("long").cast("double"))  # whole numbers, so that sums are the same in any order
+    got = {(r["tree"], r["path"]): [tuple(t) for t in r["turns"]] for r in read_back(format_paths(m, paths=2)).collect()}
+    assert got == want
+    long = "long text < " * 100_000
+    one = read_back(format_paths(spark.createDataFrame([(1, 1, None, "assistant", long, 1.0)], m.drop("a.b").schema))).first()
+    assert one["loss_text"] == long == one["turns"][0]["text"]
+
+
 def test_conversations_read_back_exactly(spark):
     rows = TRAP + [(1, t, ("user", "assistant")[t % 2], f"\\l <turn a>{t}</turn>\n \\\\ # é😀") for t in range(70)] + [(2, None, None, None), (2, 3, "assistant", ""), (None, 1, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).withColumn("score", F.lit("c"))
@@ -395,6 +458,50 @@ def test_quality_defined_cases(spark):
     assert quality.SAMPLE > 0
 
 
+def test_fit_equals_plain_descent():
+    """The same model by plain lists and dictionaries."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(51)
+    texts = [" ".join(rng.choice("good fine calm plain sea sky".split() if k % 2 else "buy now win cash sea sky !!".split()) for _ in range(rng.randrange(3, 30))) for k in range(80)]
+    labels = np.array([(k + (rng.random() < 0.1)) % 2 for k in range(80)])
+    rows = quality.indicators(pa.array(texts))
+    plain = [dict(zip(s.tolist(), v.tolist())) for s, v in rows]
+    y = [1.0 if x > 0 else -1.0 for x in labels]
+    own = [k for k in range(80) if k % 4 != 3]
+    counts = [[quality.ALPHA] * quality.DIM, [quality.ALPHA] * quality.DIM]
+    for k in own:
+        for s in plain[k]:
+            counts[y[k] > 0][s] += 1
+    totals = [sum(c) for c in counts]
+    ratio = {s: math.log(counts[1][s] / totals[1]) - math.log(counts[0][s] / totals[0]) for p in plain for s in p}
+    scaled = [{s: v * ratio[s] for s, v in p.items()} for p in plain]
+    limit = {c: quality.COST * 0.5 / (sum(y[k] == c for k in own) / len(own)) for c in (-1.0, 1.0)}
+    w, bias, alpha, order = {}, 0.0, [0.0] * 80, np.random.default_rng(5)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for k in order.permutation(np.array(own)):
+            margin = sum(w.get(s, 0.0) * v for s, v in scaled[k].items()) + bias
+            new = min(max(alpha[k] - (y[k] * margin - 1) / (sum(v * v for v in scaled[k].values()) + 1), 0.0), limit[y[k]])
+            step, alpha[k] = (new - alpha[k]) * y[k], new
+            for s, v in scaled[k].items():
+                w[s] = w.get(s, 0.0) + step * v
+            bias += step
+            moved = max(moved, abs(step))
+        if moved < 1e-4:
+            break
+    got, slope, _ = quality.fit(rows, labels)
+    assert slope > 0 and max(abs(got[s] - x * ratio[s]) for s, x in w.items()) < 1e-6 and np.count_nonzero(got) <= len(w)
+    # the bounds of the sample: in order, whole texts of at most so many bytes
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels.astype(np.int32))], ["t", "y"])
+    half = sum(map(len, texts[:40]))
+    cut, all_ = next(quality._fit_task(half)(iter([batch]))), next(quality._fit_task(half)(iter([batch.slice(0, 40)])))
+    assert cut.equals(all_) and not cut.equals(next(quality._fit_task(10**9)(iter([batch]))))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_pipeline(spark):
     import corpus_pipeline
