@@ -1,19 +1,21 @@
 """Substring dedup by matching statistics against suffix automata of reference shards.
 
 The reference of a document is every document with a smaller doc_id, so the reference is the corpus
-itself and cannot be broadcast whole. It is cut into shards that are small by construction, and each text is
-streamed only through the shards that can match it:
+itself: broadcasting automata of all of it to every executor and streaming every document through each would be quadratic. It is cut into shards that
+are small by construction, and an automaton goes to the one task that streams the texts which can match it:
 
 1. Each window of 50 words picks an anchor, the 8-gram in it of least hash. Neighbouring windows with one anchor
    form a *segment* (about 21 windows, 70 words). Equal windows pick equal anchors, so a window can only match inside segments with its anchor.
-2. Segments equal word for word share their fate: but for the smallest doc_id, all their windows are
-   removed. This is one pre-aggregated group-by of hashes (anchor and segment, 128 bits together).
-3. The distinct segments of one anchor are a reference shard. Its automaton grows in doc_id order: a segment streams through
-   the automaton of all smaller ids for its matching statistics, then joins it. A matching statistic of 50 or more marks a window.
-4. An anchor with more than `HOT` distinct segments, which one task could not bound, is settled by its windows' hashes (group-by with the smallest doc_id) instead.
-
-Defined cases: words are runs of anything but the six ASCII white-space characters, unchanged; a null or empty text has none. Rows without doc_id
-are returned whole and are no reference. Rows that repeat a doc_id don't remove each other. Other columns are ignored.
+2. The segments of an anchor that two documents share are a reference shard. Segments equal word for word stand in it once, with the smallest and the largest of
+   their doc_ids: their statistics are the same, so they are streamed once for all.
+3. A shard's segments are built into one automaton, whose states know the smallest document that holds them. Each segment streams through it: where its matching statistic
+   reaches 50, the window's first holder is read off, and every document with that segment and a larger doc_id loses the window.
+4. An anchor with more than `HOT` different segments would exceed one automaton's bound (about 70 x `HOT` words). It is the text that a great many documents share with
+   different surroundings; its windows find their first holders by a group-by of their hashes (128 bits with the anchor) instead, which splits and pre-aggregates. README has the shares.
+
+Defined cases: words are runs of anything but the six ASCII white-space characters, unchanged; a null or empty text has none. Long texts are cut whole, in a slice of their
+own. Rows without doc_id are returned whole and are no reference. Rows that repeat a doc_id don't remove each other. Ties don't arise: only the smallest holder counts.
+Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftwood.llm import kernel
 from siftwood.llm.automaton import SuffixAutomaton
-from siftwood.llm.common import Scratch, groups, min_spread, shuffled
+from siftwood.llm.common import Scratch, min_spread, shuffled
 
 WINDOW, ANCHOR, HOT = 50, 8, 1000
 
@@ -81,6 +83,9 @@ def _segments(window: int):
     return run
 
 
+_SENT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("low", pa.int64()), ("top", pa.int64()), ("a", pa.int32()), ("win", pa.int64()), ("words", pa.binary())])
+
+
 def _words_of(window: int):
     """The words (as hashes) of wanted segments, or, of hot anchors, a row for each window."""
 
@@ -93,59 +98,65 @@ def _words_of(window: int):
                 part = data[offs[i] : offs[i + 1]]
                 starts, ends, _ = kernel.words(part, np.array([0, len(part)]))
                 w = kernel.word_hashes(part, starts, ends)
-                rows = [[], [], [], [], [], []]
+                rows = []
                 for x in wanted[i].as_py():
                     s, e = x["s0"], x["s0"] + x["n"] + window - 1
                     if e > len(w):  # a row of another text with this id
                         continue
+                    head = (x["anchor"], x["seg"], ids[i], x["top"])
                     if x["hot"]:
-                        for j, h in enumerate(kernel.window_hashes(w[s:e], window).view(np.int64).tolist()):
-                            for r, v in zip(rows, (x["anchor"], x["seg"], ids[i], s + j, h, None)):
-                                r.append(v)
+                        rows += [(*head, j, h, None) for j, h in enumerate(kernel.window_hashes(w[s:e], window).view(np.int64).tolist())]
                     else:
-                        for r, v in zip(rows, (x["anchor"], x["seg"], ids[i], s, None, w[s:e].tobytes())):
-                            r.append(v)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["anchor", "seg", "doc_id", "s0", "win", "words"])
+                        rows.append((*head, 0, None, w[s:e].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT.types)], schema=_SENT)
 
     return run
 
 
-def _runs(hits: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for h in hits:
-        if out and out[-1][1] == h:
-            out[-1] = (out[-1][0], h + 1)
-        else:
-            out.append((h, h + 1))
+def _runs(held: list) -> list[tuple[int, int, int]]:
+    """Runs of windows with one holder: (first, end, holder)."""
+    out: list[tuple[int, int, int]] = []
+    for k, low in enumerate(held):
+        if out and out[-1][1] == k and out[-1][2] == low:
+            out[-1] = (out[-1][0], k + 1, low)
+        elif low is not None:
+            out.append((k, k + 1, low))
     return out
 
 
+_FATE = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("low", pa.int64())])
+
+
 def _stream(window: int):
-    """(seg, anchor, a, b): windows a to b of a distinct segment (from its own start) that smaller ids hold."""
+    """(anchor, seg, a, b, low): runs of a segment's windows (from its own start) and the smallest document that holds them.
+
+    Rows come sorted by anchor; one shard is held at a time.
+    """
+
+    def judge(anchor: int, shard: list) -> list:
+        auto, texts = SuffixAutomaton(), [np.frombuffer(x[3], np.uint64).tolist() for x in shard]
+        for x, words in zip(shard, texts):
+            auto.add(words, x[1])
+        auto.settle()
+        return [(anchor, seg, a, b, low) for (seg, _, top, _), words in zip(shard, texts) for a, b, low in _runs(auto.holders(words, window)) if low < top]
 
     def run(batches):
-        for (anchor,), t in groups(batches, ["anchor"]):
-            auto = SuffixAutomaton()
-            ids, segs, texts = t["doc_id"].to_pylist(), t["seg"].to_pylist(), t["words"].to_pylist()
-            out = []
-            i = 0
-            while i < len(ids):
-                j = i
-                own = []
-                while j < len(ids) and ids[j] == ids[i]:
-                    own.append(np.frombuffer(texts[j], np.uint64).tolist())
-                    if i:
-                        hits = [p - window + 1 for p, m in enumerate(auto.statistics(own[-1])) if m >= window]
-                        out += [(segs[j], a, b) for a, b in _runs(hits)]
-                    j += 1
-                if j < len(ids):
-                    for x in own:
-                        auto.add(x)
-                i = j
-            if out:
-                s, a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["anchor", "seg", "a", "b"])
+        last, shard, out = None, [], []
+        for batch in batches:
+            for anchor, *x in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "low", "top", "words"))):
+                if anchor != last:
+                    if shard:
+                        out += judge(last, shard)
+                    last, shard = anchor, []
+                shard.append(x)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FATE.types)], schema=_FATE)
+                out = []
+        if shard:
+            out += judge(last, shard)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FATE.types)], schema=_FATE)
 
     return run
 
@@ -178,29 +189,23 @@ def _cut(window: int, with_text: bool):
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, a, b): runs of windows, by first word, that a smaller doc_id holds too. docs: doc_id, text."""
-    parts = min_spread(docs.sparkSession)
     segs = scratch.write(docs.where("doc_id IS NOT NULL").mapInArrow(_segments(window), "anchor long, seg long, doc_id long, s0 int, n int"), "segments")
-    # distinct segments; ties of s0 inside the smallest document keep one, which is enough as the words are equal
+    # different segments; ties of s0 inside the smallest document keep one, which is enough as the words are equal
     distinct = segs.groupBy("anchor", "seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.min_by("s0", "doc_id").alias("s0"), F.min("n").alias("n"))
-    shared = segs.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("anchor")
-    distinct = scratch.write(distinct.join(shared, "anchor", "left_semi"), "distinct")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.min("low").alias("x"), F.max("low").alias("y")).where("m > 1 AND x <> y")
-    wanted = distinct.join(several.select("anchor", (F.col("m") > hot).alias("hot")), "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "seg", "s0", "n", "hot")).alias("wanted"))
-    found = docs.join(shuffled(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_words_of(window), "anchor long, seg long, doc_id long, s0 int, win long, words binary")
+    distinct = scratch.write(distinct, "distinct")
+    shared = distinct.groupBy("anchor").agg(F.min("low").alias("x"), F.max("top").alias("y"), F.count("*").alias("m")).where("x <> y").select("anchor", (F.col("m") > hot).alias("hot"))
+    wanted = distinct.join(scratch.write(shared, "anchors"), "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "seg", "top", "s0", "n", "hot")).alias("wanted"))
+    found = docs.join(shuffled(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_words_of(window), "anchor long, seg long, low long, top long, a int, win long, words binary")
     found = scratch.write(found, "words")
-    cold = found.where("win IS NULL").select("anchor", "seg", "doc_id", "s0", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "s0")
-    matched = scratch.write(cold.mapInArrow(_stream(window), "anchor long, seg long, a int, b int"), "matched")
-    wins = found.where("win IS NOT NULL").select("anchor", "win", "doc_id", "s0")
-    first = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low <> top")
-    # a hot window repeated elsewhere: its offset in the segment, for each distinct segment of a larger id
-    hot_rows = found.where("win IS NOT NULL").select("anchor", "seg", "win", "doc_id", "s0").join(first, ["anchor", "win"]).where("doc_id > low").join(distinct.select("anchor", "seg", F.col("s0").alias("from")), ["anchor", "seg"]).selectExpr("anchor", "seg", "s0 - from AS a", "s0 - from + 1 AS b")
-    runs = matched.unionByName(hot_rows).groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    fate = distinct.where("low <> top").select("anchor", "seg", "low").join(runs, ["anchor", "seg"], "full").select("anchor", "seg", "low", "runs")
-    # low is null where only the smallest document has the segment
-    hit = segs.join(shuffled(fate), ["anchor", "seg"]).withColumn("all", F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))).where("all OR runs IS NOT NULL")
-    whole = hit.where("all").selectExpr("doc_id", "s0 AS a", "s0 + n AS b")
-    some = hit.where("NOT all").select("doc_id", "s0", F.explode("runs").alias("r")).selectExpr("doc_id", "s0 + r.a AS a", "s0 + r.b AS b")
-    return whole.unionByName(some)
+    shards = found.where("win IS NULL").select("anchor", "seg", "low", "top", "words").repartition(min_spread(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
+    fate = shards.mapInArrow(_stream(window), "anchor long, seg long, a int, b int, low long")
+    # windows of hot anchors: the smallest document of each
+    wins = found.where("win IS NOT NULL")
+    first = scratch.write(wins.groupBy("anchor", "win").agg(F.min("low").alias("least")), "hot-windows")
+    hot_fate = wins.join(first, ["anchor", "win"]).where("least < top").select("anchor", "seg", "a", (F.col("a") + 1).alias("b"), F.col("least").alias("low"))
+    fate = scratch.write(fate.unionByName(hot_fate).groupBy("anchor", "seg").agg(F.collect_list(F.struct("a", "b", "low")).alias("runs")), "fate")
+    hit = segs.join(shuffled(fate), ["anchor", "seg"]).select("doc_id", "s0", F.explode("runs").alias("r"))
+    return hit.where("doc_id > r.low").selectExpr("doc_id", "s0 + r.a AS a", "s0 + r.b AS b")
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot: int = HOT) -> DataFrame:
