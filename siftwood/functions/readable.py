@@ -19,6 +19,7 @@ _BOILERPLATE = re.compile("|".join(config.BOILERPLATE))
 _NAV = re.compile("|".join(config.NAV_WORDS))
 _INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0xFEFF])
 _CONTROL = {c: " " for c in [*range(9), 11, 12, *range(14, 32), 127, 0xA0]}
+_ODD = re.compile("[" + re.escape("".join(map(chr, [*_INVISIBLE, *_CONTROL]))) + "]")
 #: What an open element adds to the score of the text inside it.
 _WEIGHT = {"article": 3.0, "main": 2.5, "p": 0.8, "blockquote": 0.8, "h1": 0.5, "h2": 0.5, "h3": 0.5}
 _BODY_TAGS = {"p", "li", "blockquote", "pre"}
@@ -38,7 +39,8 @@ class _Open(NamedTuple):
 
 
 def clean(text: str | None) -> str:
-    return " ".join(unescape(text or "").translate(_INVISIBLE).translate(_CONTROL).split())
+    plain = unescape(text or "")
+    return " ".join((plain.translate(_INVISIBLE | _CONTROL) if _ODD.search(plain) else plain).split())
 
 
 def signature(text: str, length: int = 1000) -> str:

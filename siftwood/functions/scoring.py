@@ -29,8 +29,8 @@ def source_reliability(host: Column, path: Column, site: Column) -> Column:
 
 
 def freshness(published: Column, as_of: str) -> Column:
-    """A bonus by age in days at a fixed moment; times without a zone are UTC."""
-    days = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(published.cast("timestamp"))) / 86_400_000_000
+    """A bonus by age in days at a fixed moment; times without a zone are UTC, and what can't be read as ISO text has none."""
+    days = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(published.try_cast("timestamp"))) / 86_400_000_000
     return F.coalesce(F.when(days < 0, 0.0).when(days <= 7, 0.04).when(days <= 30, 0.025).when(days <= 365, 0.005).otherwise(0.0), F.lit(0.0))
 
 

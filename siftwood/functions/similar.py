@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import cached_property
 
 _Q = 5
 
@@ -12,6 +13,25 @@ def ratio(new: str, old: str) -> float:
     return SequenceMatcher(None, new, old).ratio()
 
 
+class _Kept:
+    """A kept string; what comparisons need of it is made when the first one does."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def grams(self) -> set[str]:
+        return {self.text[i : i + _Q] for i in range(len(self.text) - _Q + 1)}
+
+    @cached_property
+    def letters(self) -> Counter:
+        return Counter(self.text)
+
+    @cached_property
+    def matcher(self) -> SequenceMatcher:
+        return SequenceMatcher(None, "", self.text)
+
+
 class Seen:
     """Strings kept so far; `like` tells whether a string is alike to one of them.
 
@@ -21,15 +41,13 @@ class Seen:
 
     def __init__(self, threshold: float):
         self.threshold = threshold
-        self.kept: list[tuple[str, Counter, set, SequenceMatcher]] = []
+        self.kept: list[_Kept] = []
         self.exact: set[str] = set()
 
     def add(self, s: str) -> None:
-        if s in self.exact:
-            return
-        self.exact.add(s)
-        m = SequenceMatcher(None, "", s)
-        self.kept.append((s, Counter(s), {s[i : i + _Q] for i in range(len(s) - _Q + 1)}, m))
+        if s not in self.exact:
+            self.exact.add(s)
+            self.kept.append(_Kept(s))
 
     def like(self, s: str, shortest: int = 0) -> bool:
         """shortest: kept strings below this length don't count."""
@@ -37,18 +55,19 @@ class Seen:
         if s in self.exact and n >= shortest:
             return True
         letters = grams = None
-        for old, counts, known, matcher in self.kept:
-            total = n + len(old)
-            if len(old) < shortest or 2 * min(n, len(old)) < t * total:
+        for old in self.kept:
+            size = len(old.text)
+            total = n + size
+            if size < shortest or 2 * min(n, size) < t * total:
                 continue
             if letters is None:
                 letters, grams = Counter(s), [s[i : i + _Q] for i in range(n - _Q + 1)]
             need = len(grams) - _Q * (1 - t) * total
-            if need > 0 and sum(g in known for g in grams) < need - 1:
+            if need > 0 and sum(g in old.grams for g in grams) < need - 1:
                 continue
-            if 2 * sum((letters & counts).values()) < t * total:
+            if 2 * sum((letters & old.letters).values()) < t * total:
                 continue
-            matcher.set_seq1(s)
-            if matcher.ratio() >= t:
+            old.matcher.set_seq1(s)
+            if old.matcher.ratio() >= t:
                 return True
         return False

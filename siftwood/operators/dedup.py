@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 from siftwood.functions.similar import Seen
 from siftwood.functions.text import text_signature
 from siftwood.session import ensure_importable
+from siftwood.storage import Scratch
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key in a total order. Rows whose key is empty are all kept."""
+    """The first row of each key in a total order. Rows whose keys are all null or empty are all kept; they take no part in the window."""
+    empty = reduce(and_, [F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in keys])
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+    return df.where(~empty).withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_").unionByName(df.where(empty))
 
 
 def dedup_chunks(chunks: DataFrame, doc_col: str, text_col: str = "chunk", order: str = "chunk_id") -> DataFrame:
@@ -101,8 +105,6 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     comparisons. What is left then is compared pair by pair: a bucket is dealt into blocks, each pair of blocks is one unit.
     Only pairs that share no bucket are missed. The tables between rounds are written to the shared folder, which cuts their plans.
     """
-    from siftwood.storage import Scratch
-
     scratch, names = Scratch(docs.sparkSession, "dedup_corpus"), count()
     write = lambda df: scratch.write(df, f"table-{next(names)}")
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(signature), F.lit("")).alias("s"))

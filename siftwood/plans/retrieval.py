@@ -8,24 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwood.config import EngineConfig
-from siftwood.functions.scoring import evidence_parts, freshness, high_quality_body, image_bonus, lexical_score, source_reliability, usable_chunk
+from siftwood.functions.scoring import evidence_parts, freshness, high_quality_body, image_bonus, source_reliability, usable_chunk
 from siftwood.functions.text import doc_signature, lexical_tokens
 from siftwood.functions.url import domain_key
 from siftwood.operators.context import group_evidence, render_context
 from siftwood.operators.dedup import dedup_docs
-from siftwood.operators.match import all_pairs
+from siftwood.operators.match import lexical_topk
 from siftwood.operators.pages import chunk_array, read_pages
 from siftwood.operators.select import diverse_topk, quality_select, topk
 
 
-def _candidates(pairs: DataFrame, cfg: EngineConfig) -> DataFrame:
+def _candidates(docs: DataFrame, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The first `candidate_k` pages of each query that are no copies of better ones, by canonical URL or by text.
 
     Copies fall after the best pages of a query are known, so more are taken than are needed; where copies fill those, four times as many. The few rows taken are
     cached, as they are read to see whether they suffice.
     """
-    order, width = [F.expr("best[0].neg"), F.col("canonical_url"), F.col("doc")], 4 * cfg.candidate_k
+    order, width = [F.expr("-best[0].score"), F.col("canonical_url"), F.col("doc")], 4 * cfg.candidate_k
     while True:
+        pairs = lexical_topk(docs, queries, "tokens", width, cfg.chunks_per_doc, "chunks")
         near = topk(pairs, ["query_id"], order, width, "place").persist()
         kept = topk(dedup_docs(near, "query_id", "canonical_url", "signature", "place", cfg.near_dup_docs, cfg.min_signature), ["query_id"], [F.col("place")], cfg.candidate_k, "kept_")
         cut = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == width)
@@ -42,18 +43,14 @@ def retrieve(queries: DataFrame, pages: DataFrame, cfg: EngineConfig = EngineCon
     as_of: the moment that page ages are taken at; without it there is no freshness bonus. images: query_id, canonical_url, image_match_status, image_match_decision and
     max_image_similarity of the pages (one row each), as `image_match` gives; pages without a row have no image bonus.
 
-    One pass over the corpus: a page is read, chunked and scored against every query in its own row, which keeps the best chunks of each (query, page). The window that
-    keeps the best pages of a query prunes each task's pages before its shuffle, so what is shuffled depends on the
+    One pass over the corpus: a page is read and chunked in its own row, and its chunks meet the queries through an inverted index of the queries' tokens
+    (`lexical_topk`). Each batch, and then each task, keeps a query's best pages before the shuffle, so what is shuffled depends on the
     number of tasks and queries, not on the corpus.
     """
     docs = read_pages(pages.select("url", "html")).where("text <> ''").withColumn("doc", F.xxhash64("canonical_url", "content_hash"))
     docs = docs.select("doc", "canonical_url", "title", "site_name", "date_published", "fetch_status", "quality_score", "is_probable_listing", F.length("text").alias("text_len"), doc_signature(F.col("title"), F.col("text")).alias("signature"), chunk_array(F.col("text"), cfg.chunk_size).alias("chunks"))
     docs = docs.withColumn("tokens", F.transform("chunks", lexical_tokens))
-    q = queries.select("query_id", lexical_tokens(F.col("query")).alias("qt"))
-    pairs = all_pairs(docs, q)
-    scored = F.transform("tokens", lambda ct, i: F.struct((-lexical_score(F.col("qt"), ct)).alias("neg"), i.alias("chunk_id"), F.get("chunks", i).alias("chunk")))
-    pairs = pairs.withColumn("best", F.slice(F.array_sort(F.filter(scored, lambda c: c["neg"] < 0)), 1, cfg.chunks_per_doc)).drop("tokens", "chunks", "qt").where("size(best) > 0")
-    near = _candidates(pairs, cfg)
+    near = _candidates(docs, queries.select("query_id", lexical_tokens(F.col("query")).alias("qt")), cfg)
     if images is None:
         near = near.withColumns({"image_match_status": F.lit(""), "image_match_decision": F.lit(""), "max_image_similarity": F.lit(0.0)})
     else:
@@ -61,12 +58,12 @@ def retrieve(queries: DataFrame, pages: DataFrame, cfg: EngineConfig = EngineCon
     image = F.coalesce(image_bonus(F.col("image_match_status"), F.col("image_match_decision"), F.col("max_image_similarity"), cfg.image_threshold), F.lit(0.0))
     domain = domain_key(F.col("canonical_url"))
     path = F.regexp_extract("canonical_url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    fresh = F.lit(0.0) if as_of is None else freshness(F.col("date_published").try_cast("timestamp"), as_of)
+    fresh = F.lit(0.0) if as_of is None else freshness(F.col("date_published"), as_of)
     near = near.withColumns({"domain": domain, "image": image, "reliability": source_reliability(domain, path, F.col("site_name")), "fresh": fresh})
     good = high_quality_body(F.lit("web_page"), F.col("fetch_status"), F.col("text_len"), F.col("quality_score"), F.col("is_probable_listing"), cfg.min_text)
     best = [F.col(c).desc() for c in ("quality_score", "reliability", "image", "text_len")] + [F.col("place")]
     near = quality_select(near, "query_id", good, good, F.lit(True), best, max(2 * cfg.top_k, cfg.top_k + 2)).drop("rank")
-    rows = near.select("*", F.explode("best").alias("b")).select("*", F.col("b.chunk_id"), F.col("b.chunk"), (-F.col("b.neg")).alias("semantic_score")).drop("b", "best", "place")
+    rows = near.select("*", F.explode("best").alias("b")).select("*", F.col("b.chunk_id"), F.col("b.chunk"), F.col("b.score").alias("semantic_score")).drop("b", "best", "place")
     parts = evidence_parts(F.col("semantic_score"), F.lit("web_page"), F.col("quality_score"), F.col("is_probable_listing"), F.col("image"), F.col("reliability"), F.col("fresh"))
     rows = rows.withColumn("score", F.round(parts["total_score"], 9))
     usable = usable_chunk(F.col("chunk"), F.col("semantic_score"), F.col("semantic_score"), F.col("quality_score"), F.col("is_probable_listing"))

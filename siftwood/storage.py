@@ -43,6 +43,18 @@ def _delete(spark_ref, path: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: one that has not a full split for each core, whose few row groups would leave most cores idle.
+
+    So at most cores x `maxPartitionBytes` are ever shuffled; larger tables stay as they are read.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    full = cores * int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < full else df
+
+
 class Scratch:
     """A folder of written tables under the shared checkpoint folder.
 
