@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -30,19 +29,15 @@ class EngineConfig:
     max_queries: int = 3
 
 
-@dataclass(frozen=True)
-class Providers:
-    """Batch functions behind which models and services stand; each takes and returns lists. None: the offline default."""
-
-    fetch: Callable[[list], list] | None = None
-    embed_text: Callable[[list], list] | None = None
-    embed_image: Callable[[list], list] | None = None
-    chat: Callable[[list], list] | None = None
-
-
 # Tracking parameters that canonical URLs lose.
 TRACKING_KEYS = ["fbclid", "gclid", "gbraid", "wbraid", "igshid", "mc_cid", "mc_eid", "spm", "from", "ref", "source"]
 
+# Provider errors that mean an empty result.
+NO_RESULTS = ["hasn't returned any results for this query", "didn't return any results for this query", "no results"]
+
+# Words of questions whose answer changes with time.
+DYNAMIC_TERMS = ["award", "won", "win", "season", "festival", "released", "release", "launched", "launch", "currently", "current", "ceo", "partner", "mvp", "finals", "conference finals", "champions league", "computex", "eurovision", "cannes", "bafta", "pulitzer", "2025", "2026"]
+
 # Image URL rules.
 IMAGE_EXTENSIONS = [".apng", ".avif", ".bmp", ".jpeg", ".jpg", ".png", ".webp"]
 IGNORED_IMAGE_TOKENS = ["favicon", "siteicon", "site_icon", "qrcode", "barcode", "background", "bgr_", "bg_", "/bg", "button", "channel_tag", "navleft", "navright", "/qr", "-qr", "_qr", "/icon", "-icon", "_icon", "icon.", "sprite", "logo", "blank.", "spacer.", "pixel.", "tracking"]

@@ -335,12 +335,26 @@ def _record(link, title, text, site, date, lang, images, method, q, listing, n_b
 PAGE_SCHEMA = "canonical_url string, fetch_status string, title string, text string, excerpt string, site_name string, date_published string, language string, image_urls array<string>, content_hash string, extraction_method string, quality_score double, is_probable_listing boolean, n_blocks int, listing_density double"
 
 
-def decode_body(body: bytes, header: str = "") -> str:
-    """Bytes of a response as text: the header's charset, else a meta tag's in the first 4096 bytes, else UTF-8."""
-    named = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", header or "") or re.search(r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", body[:4096].decode("latin-1"))
-    for charset in (named[1] if named else "utf-8", "utf-8"):
+def _detected(body: bytes) -> str:
+    """The charset of unmarked bytes: a byte order mark, else the first charset that decodes them whole; single-byte Latin takes what is left."""
+    for mark, charset in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return charset
+    # the share of the letters that are beyond ASCII which must be of the charset's own script
+    for charset, low, high, least in (("utf-8", "", "", 0.0), ("shift_jis", "\u3040", "\u30ff", 0.2), ("gb18030", "\u4e00", "\u9fff", 0.5)):
         try:
-            return body.decode(charset, "replace")
-        except LookupError:
+            text = body.decode(charset)
+        except UnicodeDecodeError:
             continue
-    return body.decode("utf-8", "replace")
+        if sum(low <= c <= high for c in text) >= least * max(1, sum(not c.isascii() for c in text)):
+            return charset
+    return "cp1252"
+
+
+def decode_body(body: bytes, header: str = "") -> str:
+    """Bytes of a response as text: by the header's charset, else a meta tag's in the first 4096 bytes, else by detection."""
+    named = re.search(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", header or "") or re.search(r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:4096].decode("latin-1"))
+    try:
+        return body.decode(named[1] if named else _detected(body), "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")

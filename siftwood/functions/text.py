@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwood import config
 
@@ -31,11 +34,21 @@ def doc_signature(*parts: Column) -> Column:
     return text_signature(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unescape(t))
+
+
 def clean_text(text: Column) -> Column:
-    """White space and control characters become single spaces, zero-width characters go. Entities are decoded by the HTML reader."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), " ", " ")
-    t = F.regexp_replace(t, "[​-‏‪-‮﻿]", "")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
+    """Entities are decoded, white space and control characters become single spaces, zero-width characters go.
+
+    The few texts that hold something like an entity pass through Python; all else is columns.
+    """
+    raw = F.coalesce(text, F.lit(""))
+    odd = raw.rlike("&#?[A-Za-z0-9]")
+    t = F.coalesce(_unescaped(F.when(odd, raw)), raw)
+    t = F.regexp_replace(t, "[\u200b-\u200f\u202a-\u202e\ufeff]", "")
+    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\xa0]", " ")
     return F.trim(F.regexp_replace(t, SPACE, " "))
 
 
@@ -43,6 +56,11 @@ def first_non_empty(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(clean_text(v), F.lit("")) for v in values], F.lit(""))
 
 
+def safe_float(value: Column, default: float = 0.0) -> Column:
+    """A number, or the default where there is none to read."""
+    return F.coalesce(value.try_cast("double"), F.lit(default))
+
+
 def count_of(text: Column, piece: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
 

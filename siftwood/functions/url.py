@@ -9,23 +9,38 @@ from pyspark.sql import types as T
 
 from siftwood import config
 
-#: URLs whose canonical form needs no escaping, ports, user names or nested brackets: rewritten without Python.
-_PLAIN = r"^\s*(?i:https?:)?//[A-Za-z0-9.-]+(/[A-Za-z0-9/:@._~!$&'()*+,;=-]*)?(\?[A-Za-z0-9=&._-]*)?(#[^\s]*)?\s*$"
+#: URLs that columns canonicalise: an ASCII host, perhaps with a user and a port, any path and query whose escapes are whole. IPv6 hosts, other hosts,
+#: control characters and broken escapes go through urllib.
+_PLAIN = r"^[ \t\r\n]*(?:[Hh][Tt][Tt][Pp][Ss]?:)?//(?:[!-~&&[^/?#@\[\]\\%]]*@)?[A-Za-z0-9._-]+(?::[0-9]{0,5})?(?:[/?#](?:[^%\x00-\x1f\x7f]|%[0-9A-Fa-f]{2})*)?[ \t\r\n]*$"
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), F.lit(""))
+
+
+def _quoted(c: Column, safe: str, space: str) -> Column:
+    """Percent escapes of all but letters, digits, _ . - ~ and `safe`."""
+    out = F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit(space)), F.lit("*"), F.lit("%2A"))
+    for char in "~" + safe:
+        out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
+    return out
 
 
 def _plain(url: Column) -> Column:
-    u = F.trim(url)
+    u = F.regexp_replace(url, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z]+):", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#]+)", 1)), r"\.+$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:]*)", 1)), r"\.+$", "")
     host = F.regexp_replace(host, r"^m\.", "www.")
-    path = F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    pairs = F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&")
-    kept = F.filter(pairs, lambda p: F.contains(p, F.lit("=")) & ~p.rlike("=$") & ~F.lower(F.substring_index(p, "=", 1)).rlike("^utm_|^(" + "|".join(config.TRACKING_KEYS) + ")$"))
-    # pairs sort by key, then value
-    ordered = F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.expr("1").alias("z"), p.alias("p")))), lambda s: s["p"])
-    query = F.array_join(ordered, "&")
-    return F.when(host == "", F.lit("")).otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    port = F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1).try_cast("int")
+    shown = port.isNotNull() & (port > 0) & (port != F.when(scheme == "http", 80).otherwise(443))
+    path = F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_replace(_quoted(_decoded(F.replace(path, F.lit("+"), F.lit("%2B"))), "/:@!$&'()*+,;=", "%20"), "/+$", "")
+    pairs = F.transform(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).alias("v")))
+    kept = F.filter(pairs, lambda p: (p["v"] != "") & ~F.lower(p["k"]).rlike("^utm_|^(" + "|".join(config.TRACKING_KEYS) + ")$"))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_quoted(p["k"], "", "+"), F.lit("="), _quoted(p["v"], "", "+"))), "&")
+    known = (host != "") & (F.coalesce(port, F.lit(0)) <= 65535)
+    return F.when(~known, F.lit("")).otherwise(F.concat(scheme, F.lit("://"), host, F.when(shown, F.concat(F.lit(":"), port.cast("string"))).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def canonical(raw: str | None) -> str:
@@ -56,13 +71,11 @@ def _canonical_udf(urls: pd.Series) -> pd.Series:
     return urls.map(lambda x: None if x is None else canonical(x))
 
 
-def canonical_url(url: Column, python: bool = False) -> Column:
-    """Canonical URLs. The expression covers plain URLs; with `python`, the rest goes through urllib in Arrow batches."""
+def canonical_url(url: Column) -> Column:
+    """Canonical URLs of any form, "" where there is none. Columns do it but for odd hosts and broken escapes, which go through urllib in Arrow batches."""
     u = F.coalesce(url, F.lit(""))
-    native = F.when(u.rlike(_PLAIN), _plain(u))
-    if not python:
-        return F.coalesce(native, F.lit(""))
-    return F.coalesce(native, _canonical_udf(F.when(~u.rlike(_PLAIN), u)), F.lit(""))
+    plain = u.rlike(_PLAIN)
+    return F.coalesce(F.when(plain, _plain(u)), _canonical_udf(F.when(~plain & (u != ""), u)), F.lit(""))
 
 
 def domain_key(canonical_col: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwood.functions.similar import Seen
 from siftwood.functions.text import text_signature
 from siftwood.session import ensure_importable
 
-_FIRST = ("name", "site_name", "date_published", "content_source", "image_match_status", "image_match_decision")
+_FIRST = ("name", "site_name", "display_url", "date_published", "date_last_crawled", "content_source", "image_match_status", "image_match_decision", "web_fetch_status", "evidence_rescue_status")
 
 
 def suppress_near_duplicates(chunks: DataFrame, query: str, url: str, pos: str, text: str, threshold: float = 0.92) -> DataFrame:
@@ -41,6 +41,7 @@ def group_evidence(chunks: DataFrame, query: str, url: str, pos: str, text: str
     first = [F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(pos))).alias(c) for c in _FIRST if c in given]
     tops = [F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ("score", "semantic_score", "max_image_similarity", "web_fetch_quality_score") if c in given]
     flags = [F.max(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("web_fetch_is_probable_listing", "web_fetch_from_cache") if c in given]
+    flags += [F.max(c).alias(c) for c in ("image_match_image_count", "image_match_failed_count") if c in given]
     piece = F.struct(F.coalesce("chunk_id", F.lit(1_000_000_000)).alias("chunk_id"), (-F.col("score")).alias("neg"), F.col(text).alias("content"))
     listed = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(text), F.lit("")) != "", piece))).alias("chunks")
     out = chunks.groupBy(query, url).agg(F.min(pos).alias("first_pos"), *first, *tops, *flags, listed)
@@ -59,18 +60,42 @@ RULES = "Citation Rules:\nEach evidence block below has a stable source id such
 NOTE = "Temporal Note:\nDocument date fields below are page/search metadata. For latest/current questions, verify event dates and completed/current status from titles or content."
 
 
+def _three(c: Column) -> Column:
+    return F.format_string("%.3f", F.bround(c, 3))
+
+
+def evidence_source(source: Column, status: Column, cached: Column, quality: Column, listing: Column, rescue: Column) -> Column:
+    """Where a block's text comes from, as the answering model reads it."""
+    body = F.concat_ws(", ", F.lit("webpage body"), F.when(cached, "cache"), F.concat(F.lit("quality="), _three(quality)), F.when(rescue == "image_filter_rescue", "image-filter rescue"), F.when(listing, "possible listing page"))
+    snippet = F.concat_ws(", ", F.lit("Search-result snippet fallback"), F.when(F.coalesce(status, F.lit("")) != "", F.concat(F.lit("fetch_status="), status)))
+    return F.when(source == "web_page", body).when(F.contains(source, F.lit("fallback")), snippet).otherwise(source)
+
+
+def image_line(status: Column, decision: Column, similarity: Column, images: Column, failed: Column) -> Column:
+    """How a block's page images fit the question's."""
+    matched = F.concat_ws(", ", F.lit("matched"), F.concat(F.lit("score="), _three(similarity)), F.concat(F.lit("decision="), F.nullif(decision, F.lit(""))), F.concat(F.lit("images="), images.cast("string")))
+    broken = F.concat(F.lit("page image fetch failed, failed_images="), F.coalesce(failed, F.lit(0)).cast("string"))
+    return F.when(status == "matched", matched).when(status == "no_images", "no page images available").when(status == "failed", broken).when(status == "unavailable", "CLIP image matching unavailable").otherwise(status)
+
+
 def render_context(groups: DataFrame, query: str, query_text: str, url: str, start: int = 1, current_time: str = "") -> DataFrame:
-    """(query, context, n_docs): the sections of each query, with blocks numbered from `start`."""
-    line = lambda head, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head), F.col(c)))
+    """(query, context, n_docs): the sections of each query, with blocks numbered from `start`. Columns that the groups lack give no lines."""
+    given = set(groups.columns)
+    of = lambda c, kind="string": F.col(c).cast(kind) if c in given else F.lit(None).cast(kind)
+    line = lambda head, c, tail="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c, F.lit(tail)))
+    some = lambda c: F.nullif(F.coalesce(of(c), F.lit("")), F.lit(""))
+    dated = F.coalesce(line("Page metadata - Published: ", of("date_published"), " (not necessarily the event date)"), line("Page metadata - Last crawled: ", of("date_last_crawled"), " (not necessarily the event date)"))
     one, many = F.expr("concat('Evidence text: ', chunks[0].content)"), F.expr("concat('Evidence text:\\n', array_join(transform(chunks, (c, i) -> concat('- Chunk ', i + 1, ': ', c.content)), '\\n'))")
     block = F.concat_ws(
         "\n",
-        F.concat(F.lit("[Doc "), (F.col("doc") + start - 1).cast("string"), F.lit("] Evidence Block")),
+        F.concat(F.lit("[Doc "), (F.col("doc") + max(1, start) - 1).cast("string"), F.lit("] Evidence Block")),
         F.concat(F.lit("URL: "), F.col(url)),
-        line("Title: ", "name"),
-        line("Source: ", "site_name"),
-        F.when(F.coalesce("date_published", F.lit("")) != "", F.concat(F.lit("Page metadata - Published: "), "date_published", F.lit(" (not necessarily the event date)"))),
-        F.concat(F.lit("Retrieval score: "), F.format_string("%.3f", F.bround("score", 3))),
+        line("Title: ", of("name")),
+        line("Source: ", F.coalesce(some("site_name"), some("display_url"))),
+        dated,
+        F.concat(F.lit("Retrieval score: "), _three(F.col("score"))),
+        line("Evidence source: ", evidence_source(of("content_source"), of("web_fetch_status"), of("web_fetch_from_cache", "boolean"), of("web_fetch_quality_score", "double"), of("web_fetch_is_probable_listing", "boolean"), of("evidence_rescue_status"))),
+        line("Image match: ", image_line(of("image_match_status"), of("image_match_decision"), of("max_image_similarity", "double"), of("image_match_image_count", "long"), of("image_match_failed_count", "long"))),
         F.when(F.size("chunks") == 1, one).when(F.size("chunks") > 1, many),
     )
     blocks = groups.select(query, query_text, "doc", block.alias("b")).groupBy(query, query_text).agg(F.sort_array(F.collect_list(F.struct("doc", "b"))).alias("bs"))

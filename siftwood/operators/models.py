@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwood.functions.model_text import entity_candidates, judge_verdict, sufficiency
+from siftwood.functions.model_text import entity_candidates, freshness_choice, judge_verdict, sufficiency
 from siftwood.functions.routing import route
 from siftwood.functions.url import valid_image_url
 from siftwood.operators.select import dedupe_queries
@@ -82,6 +82,45 @@ def generate_queries(questions: DataFrame, qid: str, question: str, find: Batch,
     return dedupe_queries(rows.select(qid, "pos", chat(prompt, write).alias("query")), qid, "query", "pos", limit).select(qid, "pos", "query")
 
 
+def prompted(task: str, **parts: Column) -> Column:
+    """A prompt: the task, then each part under its name; empty parts are left out."""
+    named = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name.replace('_', ' ').capitalize()}:\n"), c)) for name, c in parts.items()]
+    return F.concat_ws("\n\n", F.lit(task), *named)
+
+
+ANSWER = "Answer the question from the evidence blocks and the images. Cite the block of every claim that rests on one, as in [Doc 1]; cite nothing that a block does not say. Compare dates of events, not of pages."
+PLAIN_ANSWER = "Answer the question from the images and what you know. Where the answer changes with time, say that it may be out of date."
+FRESHNESS = "Name the window that the search for this question needs, one of oneDay, oneWeek, oneMonth, oneYear, noLimit."
+SUFFICIENCY = 'Say whether the context answers the question. Return JSON: {"judgement": "YES" or "NO", "addition": the search that is still missing}.'
+VERDICT = 'Compare the prediction with the reference answer. Return JSON: {"verdict": "CORRECT" or "INCORRECT"}.'
+
+
+def choose_freshness(questions: DataFrame, question: str, ask: Batch) -> DataFrame:
+    """Adds freshness: the window that a model chooses for each question, noLimit where it names none."""
+    ensure_importable(questions.sparkSession)
+    return questions.withColumn("freshness", freshness_choice(chat(prompted(FRESHNESS, question=F.col(question)), ask)))
+
+
+#: The ways to answer: without evidence, with it (from texts, or texts and images), or as the route decides.
+MODES = ("no_rag", "text_only_rag", "full_rag", "route_router")
+
+
+def answer_questions(questions: DataFrame, question: str, mode: str, contexts: Callable[[DataFrame, bool], DataFrame], answer: Batch, ask: Batch) -> DataFrame:
+    """Adds mode, use_rag and prediction. contexts: the questions that need evidence, and whether images count, to the same rows with a `context`."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    ensure_importable(questions.sparkSession)
+    if mode == "route_router":
+        routed = should_use_rag(questions, question, ask).drop("decision", "reason")
+    else:
+        routed = questions.withColumn("use_rag", F.lit(mode != "no_rag"))
+    plain = routed.where("NOT use_rag").withColumn("prompt_", prompted(PLAIN_ANSWER, question=F.col(question)))
+    found = contexts(routed.where("use_rag"), mode != "text_only_rag") if mode != "no_rag" else None
+    if found is not None:
+        plain = plain.unionByName(found.withColumn("prompt_", prompted(ANSWER, evidence=F.col("context"), question=F.col(question))).drop("context"))
+    return plain.withColumn("mode", F.lit(mode)).withColumn("prediction", chat(F.col("prompt_"), answer)).drop("prompt_")
+
+
 def judge(predictions: DataFrame, prompt: Column, ask: Batch) -> DataFrame:
     """Adds judge_correct; an answer that says neither fails the job."""
     ensure_importable(predictions.sparkSession)
@@ -108,6 +147,12 @@ def page_images(docs: DataFrame, key: str, images: str, download: Batch, embed_i
     return wanted.join(done, "url", "left").select(key, "pos", "url", "vector")
 
 
+def image_states(images: DataFrame, key: str) -> DataFrame:
+    """What is known of each document's images, from `page_images`: embedded URLs in order, failed URLs, and that all were tried."""
+    listed = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "url")))), lambda x: x["url"])
+    return images.groupBy(key).agg(listed(F.col("vector").isNotNull()).alias("embedded_urls"), listed(F.col("vector").isNull()).alias("failed_urls")).withColumn("ready", F.lit(True))
+
+
 def page_image_score(images: DataFrame, key: str, similarity: str, default: float = 1.0) -> DataFrame:
     """The best similarity of each document, or the default where none is known."""
     return images.groupBy(key).agg(F.coalesce(F.max(similarity), F.lit(default)).alias("score"))
@@ -126,9 +171,13 @@ def chunk_profiles(chunks: DataFrame, stored: DataFrame, query: str, embed_text:
 
 
 def save_images(images: DataFrame, path: str) -> None:
-    """Writes downloaded bodies once for each URL, keyed by a 16-digit hash; existing keys are skipped."""
+    """Writes downloaded bodies once for each URL, keyed by a 16-digit hash; existing keys are skipped.
+
+    images: url, body and, where it is known, content_type; what is no image by its type is not written.
+    """
     spark = images.sparkSession
-    new = images.where("body IS NOT NULL AND length(body) > 0").select(F.substring(F.sha2("url", 256), 1, 16).alias("key"), "url", "body").dropDuplicates(["key"])
+    kind = F.lower(F.coalesce("content_type", F.lit(""))) if "content_type" in images.columns else F.lit("")
+    new = images.where("body IS NOT NULL AND length(body) > 0").where((kind == "") | F.startswith(kind, F.lit("image/"))).select(F.substring(F.sha2("url", 256), 1, 16).alias("key"), "url", "body").dropDuplicates(["key"])
     try:
         new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
     except Exception as e:

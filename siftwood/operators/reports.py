@@ -33,7 +33,8 @@ def report_text(summary: DataFrame, group: str) -> DataFrame:
     """The summary as report lines, overall first: a table for the text sink."""
     name = F.coalesce(F.col(group), F.lit("overall"))
     line = F.format_string("%s (%d): %.2f%%, %.3f s", name, F.col("count"), F.col("success_rate") * 100, F.col("avg_latency"))
-    return summary.select(F.col(group).isNotNull().alias("later_"), name.alias("name_"), line.alias("value")).orderBy("later_", "name_").select("value")
+    lines = summary.select(F.struct(F.col(group).isNotNull().alias("later"), name.alias("name"), line.alias("value")).alias("x")).orderBy("x")
+    return lines.select("x.value")
 
 
 def write_results(results: DataFrame, summary: DataFrame, group: str, path: str) -> None:

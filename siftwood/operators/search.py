@@ -5,30 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwood import config
 from siftwood.functions.scoring import page_text_better
 from siftwood.functions.url import canonical_url, merge_images, valid_image_url
 
-HITS_A = "struct<organic_results: array<struct<position: int, title: string, link: string, displayed_link: string, snippet: string, source: string, favicon: string, date: string, cached_page_link: string, thumbnail: string>>, error: string>"
+_LIST_A = "array<struct<position: int, title: string, link: string, displayed_link: string, snippet: string, source: string, favicon: string, date: string, cached_page_link: string, thumbnail: string>>"
+HITS_A = f"struct<organic_results: {_LIST_A}, error: string>"
 HITS_B = "struct<data: struct<webPages: struct<value: array<struct<id: string, name: string, url: string, displayUrl: string, summary: string, snippet: string, siteName: string, siteIcon: string, datePublished: string, dateLastCrawled: string, cachedPageUrl: string, language: string>>>, images: struct<value: array<struct<hostPageUrl: string, contentUrl: string, thumbnailUrl: string>>>>>"
-#: Provider errors that mean an empty result.
-NO_RESULTS = ["hasn't returned any results for this query", "didn't return any results for this query", "no results"]
-
-
 def _text(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit("")))
 
 
-def answer_type() -> str:
-    """The type of provider A's result list."""
-    return HITS_A.split("organic_results: ", 1)[1].rsplit(", error", 1)[0]
-
-
 def parse_hits(responses: DataFrame, query: str, body: str, preview: int = 800) -> DataFrame:
     """Documents of provider A's JSON: one a link, the first of each canonical URL, in order of position."""
     answer = F.from_json(body, HITS_A)
     problem = F.lower(F.coalesce(answer["error"], F.lit("")))
-    benign = (problem == "") | F.exists(F.array(*[F.lit(x) for x in NO_RESULTS]), lambda x: F.contains(problem, x))
-    found = F.when(benign, answer["organic_results"]).otherwise(F.raise_error(F.concat(F.lit("search failed: "), problem)).cast(answer_type()))
+    benign = (problem == "") | F.exists(F.array(*[F.lit(x) for x in config.NO_RESULTS]), lambda x: F.contains(problem, x))
+    found = F.when(benign, answer["organic_results"]).otherwise(F.raise_error(F.concat(F.lit("search failed: "), problem)).cast(_LIST_A))
     hits = responses.select(F.col(query), F.posexplode(found).alias("pos", "h")).select(query, "pos", "h.*").where(_text("link") != "")
     key = canonical_url(F.col("link"))
     hits = hits.withColumn("canonical_url", key).withColumn("k_", F.when(key == "", _text("link")).otherwise(key))
@@ -64,7 +57,7 @@ def apply_fetched(docs: DataFrame, pages: DataFrame, images: int = 3) -> DataFra
     old = F.coalesce("name", F.lit(""))
     retitle = (new_title != "") & ((old == "") | (F.length(new_title) >= F.least(F.length(old), F.lit(24))))
     fill = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("name", "content", "site_name", "date_published", "image_urls")]
+    rest = [c for c in docs.columns if c not in ("name", "content", "site_name", "date_published", "image_urls", "language")]
     return both.select(
         *rest,
         F.when(retitle, new_title).otherwise(old).alias("name"),
@@ -73,6 +66,7 @@ def apply_fetched(docs: DataFrame, pages: DataFrame, images: int = 3) -> DataFra
         fill("site_name", "p_site_name").alias("site_name"),
         fill("date_published", "p_date_published").alias("date_published"),
         merge_images(F.col("image_urls"), F.col("p_image_urls"), images).alias("image_urls"),
+        *([fill("language", "p_language").alias("language")] if "language" in docs.columns else [F.coalesce("p_language", F.lit("")).alias("language")]),
         F.coalesce("p_fetch_status", F.lit("")).alias("web_fetch_status"),
         F.col("p_quality_score").alias("web_fetch_quality_score"),
         F.coalesce("p_is_probable_listing", F.lit(False)).alias("web_fetch_is_probable_listing"),

@@ -39,6 +39,13 @@ def upsert_docs(stored: DataFrame, new: DataFrame, key: str, always: list[str],
     return both.select(*[F.coalesce(F.col(c), F.col(f"n_{c}")).alias(c) if c == key else merged(c) for c in stored.columns])
 
 
+def append_queries(stored: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored queries of a session and those new ones whose text it does not hold yet, without regard to case."""
+    have = stored.select(key, F.lower(text).alias("low_")).distinct()
+    fresh = new.withColumn("low_", F.lower(text)).join(have, [key, "low_"], "left_anti").dropDuplicates([key, "low_"]).drop("low_")
+    return stored.unionByName(fresh.select(*stored.columns))
+
+
 def save_session(df: DataFrame, path: str, session: str, table: str) -> None:
     """Replaces one session's partition of a session table (queries, docs, page_images or chunks)."""
     df.withColumn("session", F.lit(session)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(f"{path}/{table}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,18 +13,21 @@ from siftwood.config import EngineConfig
 from siftwood.functions import model_text, routing, scoring, text, url, vectors
 from siftwood.operators import context, dedup, match, reports, search, select, state
 from siftwood.session import ensure_importable
+from siftwood.storage import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 AS_OF = "2024-02-15 00:00:00"
+#: Tables whose rows cost much work each.
+_TEXTS = ("documents", "pages")
 
 
 def query(name: str, sql: str | None = None):
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_importable(spark)
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return f(lambda table: spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")) if table in _TEXTS else spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
         if sql:
@@ -67,6 +71,18 @@ def _(t):
     return t("pages").select("page_id", url.canonical_url(F.col("url")).alias("canonical_url"))
 
 
+#: Ends of URLs that need work, and their canonical forms: ports, users, escapes, non-ASCII letters, plus signs and equals signs in values.
+_HARD = [(":443/a/", "/a"), (":8080", ":8080"), ("/a%20b", "/a%20b"), ("/über", "/%C3%BCber"), ("/%7Euser/x+y", "/~user/x+y"), ("/s?q=a+b&q=%C3%A9", "/s?q=a+b&q=%C3%A9"), ("/s?b=2&a=b=c&utm_source=x", "/s?a=b%3Dc&b=2"), ("/100%/x", "/100%25/x"), ("/p?x=1*2~3&empty=", "/p?x=1%2A2~3"), (":99999/", None), ("/日本?k=語#frag", "/%E6%97%A5%E6%9C%AC?k=%E8%AA%9E")]
+_HARD_SQL = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {'NULL' if b is None else _in([b])}" for i, (_, b) in enumerate(_HARD)) + " END"
+
+
+@query("canonical_url_hard", f"SELECT page_id, coalesce('https://' || regexp_replace(regexp_replace({_HOST}, '^m\\.', 'www.'), '\\.+$', '') || {_HARD_SQL}, '') AS canonical_url FROM pages")
+def _(t):
+    host, user = F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1), F.when(F.col("page_id") % 2 == 0, "me:secret@").otherwise("")
+    ends = F.element_at(F.array(*[F.lit(a) for a, _ in _HARD]), (F.col("page_id") % 11 + 1).cast("int"))
+    return t("pages").select("page_id", url.canonical_url(F.concat(F.lit(" HTTPS://"), user, host, ends)).alias("canonical_url"))
+
+
 @query("domain_key", f"SELECT page_id, {_DOMAIN} AS domain FROM pages")
 def _(t):
     return t("pages").select("page_id", url.domain_key(url.canonical_url(F.col("url"))).alias("domain"))
@@ -87,6 +103,11 @@ def _(t):
     return t("documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"))
 
 
+@query("clean_text_entities", "SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || ' & é < A x y &unknown;' AS clean FROM documents")
+def _(t):
+    return t("documents").select("doc_id", text.clean_text(F.concat(F.coalesce("text", F.lit("")), F.lit(" &amp; &eacute;&nbsp;&lt; &#65; x\u200b&#x20;y &unknown;"))).alias("clean"))
+
+
 @query("looks_boilerplate", f"SELECT doc_id, i::BIGINT AS line, {_BOILER.format(t='l')} AS boilerplate FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)")
 def _(t):
     lines = t("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "l"))
@@ -175,17 +196,8 @@ def _(t):
 
 
 @query("vector_topk", f"""WITH s AS (SELECT e.label, e.vec_id, q.vec_id AS query_id, round({_DOT.format(a='e.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='e.embedding', b='e.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) + 1e-8), 6) AS score
-    FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 3) q)
+    FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
     SELECT query_id, label, vec_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
-def _(t):
-    e = t("embeddings")
-    q = e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = match.all_pairs(e.select("label", "vec_id", F.col("embedding").alias("vector")), q).withColumn("score", F.round(vectors.cosine(F.col("vector"), F.col("query_vector")), 6))
-    top = select.topk(pairs.drop("vector", "query_vector"), ["query_id", "label"], [F.col("score").desc(), F.col("vec_id")], 3)
-    return top.select("query_id", "label", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
-
-
-@query("vector_topk_all", ORACLES["vector_topk"].replace("WHERE vec_id < 3", "WHERE vec_id % 100 = 0"))
 def _(t):
     e = t("embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -206,7 +218,7 @@ def _(t):
 
 
 _ASK = ["translate: ", "summarize ", "what does the chart say? ", "write a poem on ", "debug python ", "compute 3 + 4 of ", "", "hello"]
-_ASKED = f"CASE conv_id % 8 WHEN 7 THEN 'hello' ELSE list_extract([{_in(_ASK)}], (conv_id % 8 + 1)::int) || substr(text, 1, CASE WHEN turn % 2 = 0 THEN 40 ELSE 4000 END) END"
+_ASKED = f"CASE conv_id % 8 WHEN 7 THEN 'hello' ELSE list_extract([{_in(_ASK)}], (conv_id % 8 + 1)::int) || CASE WHEN turn % 2 = 0 THEN role ELSE text END END"
 
 
 def _hits(terms: list[str]) -> str:
@@ -223,9 +235,9 @@ SELECT conv_id, turn, CASE WHEN trim(raw) = '' THEN 'EMPTY_QUERY' WHEN len({_hit
 
 
 def _asked(t):
-    cut = F.substring("text", F.lit(1), F.when(F.col("turn") % 2 == 0, 40).otherwise(4000))
+    said = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.col("text"))
     head = F.element_at(F.array(*[F.lit(a) for a in _ASK]), (F.col("conv_id") % 8 + 1).cast("int"))
-    return t("conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 8 == 7, "hello").otherwise(F.concat(head, cut)).alias("raw"))
+    return t("conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 8 == 7, "hello").otherwise(F.concat(head, said)).alias("raw"))
 
 
 @query("route", f"SELECT conv_id, turn, reason, CASE WHEN reason = 'RAG_RISK_SIGNAL' THEN 'NEED_RAG' WHEN reason = 'NO_HIGH_CONFIDENCE_RULE_MATCH' THEN 'UNCERTAIN' ELSE 'NO_RAG_CONFIDENT' END AS decision FROM ({_ROUTE})")
@@ -306,23 +318,34 @@ def _(t):
     return dedup.ordered_distinct(t("events"), "user_id", "event_id")
 
 
-@query("dedupe_queries", """WITH q AS (SELECT conv_id, turn, trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 3)) AS q FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(q) ORDER BY turn) AS rn FROM q WHERE q <> '')
+@query("dedupe_queries", """WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(q) ORDER BY turn) AS rn FROM q WHERE q <> '')
     SELECT conv_id, turn, q, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM f WHERE rn = 1) WHERE rank <= 3""")
 def _(t):
-    q = t("conversations").select("conv_id", "turn", F.substring(F.trim(F.regexp_replace("text", text.SPACE, " ")), 1, 3).alias("q"))
+    q = t("conversations").select("conv_id", "turn", F.col("text").alias("q"))
     return select.dedupe_queries(q, "conv_id", "q", "turn").select("conv_id", "turn", "q", F.col("rank").cast("long").alias("rank"))
 
 
 def _retrieved(t):
-    i = F.col("doc_id")
-    return t("documents").select(F.col("lang").alias("query_id"), F.concat(F.lit("https://"), "source", F.lit(".org/"), (i % 3).cast("string")).alias("url"), i.alias("pos"), (i % 9).cast("int").alias("chunk_id"), F.substring("text", 1, 60).alias("content"), ((i % 17) / F.lit(16.0)).alias("score"), F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("T"), i.cast("string"))).alias("name"), F.col("source").alias("site_name"), (i % 5 == 0).alias("web_fetch_is_probable_listing"))
+    """Documents as pages of three retrieved chunks: the text, its reverse, and the text again with one more mark, which is a copy."""
+    i, line = F.col("doc_id"), F.col("line")
+    said = F.coalesce("text", F.lit(""))
+    lines = t("documents").select("doc_id", "lang", "source", F.posexplode(F.array(said, F.reverse(said), F.concat(said, F.lit("!")))).alias("line", "content"))
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    return lines.select(
+        F.col("lang").alias("query_id"), F.concat(F.lit("https://"), "source", F.lit(".org/"), i.cast("string")).alias("url"), (i * 10 + line).alias("pos"), line.cast("int").alias("chunk_id"), "content", (((i + line) % 17) / F.lit(16.0)).alias("score"),
+        F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("T"), i.cast("string"))).alias("name"), F.col("source").alias("site_name"), pick("", "2024-01-02", "").alias("date_published"), pick("2024-02-03", "2024-02-04", "").alias("date_last_crawled"),
+        pick("web_page", "search_snippet_fallback", "").alias("content_source"), pick("success", "").alias("web_fetch_status"), ((i % 11) / F.lit(10.0)).alias("web_fetch_quality_score"), (i % 5 == 0).alias("web_fetch_is_probable_listing"),
+        pick("matched", "no_images", "", "unavailable", "failed").alias("image_match_status"), F.when(i % 5 == 0, "weak_match").otherwise("").alias("image_match_decision"), ((i % 101) / F.lit(100.0)).alias("max_image_similarity"), (i % 4).alias("image_match_image_count"), (i % 3).alias("image_match_failed_count"),
+    )
 
 
-_RETRIEVED = "SELECT lang AS query_id, 'https://' || source || '.org/' || (doc_id % 3) AS url, doc_id AS pos, doc_id % 9 AS chunk_id, substr(text, 1, 60) AS content, (doc_id % 17) / 16.0::double AS score, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS name, source AS site_name, doc_id % 5 = 0 AS listing FROM documents"
+_RETRIEVED = f"""SELECT lang AS query_id, 'https://' || source || '.org/' || doc_id AS url, doc_id, source, doc_id * 10 + line AS pos, line AS chunk_id, content, ((doc_id + line) % 17) / 16.0::double AS score FROM (
+    SELECT *, substr({_SIG.format(t='content')}, 1, 800) AS sig FROM (SELECT doc_id, lang, source, unnest([coalesce(text, ''), reverse(coalesce(text, '')), coalesce(text, '') || '!']) AS content, unnest([0, 1, 2]) AS line FROM documents))
+    QUALIFY length(sig) < 80 OR row_number() OVER (PARTITION BY doc_id, sig ORDER BY line) = 1"""
+_GROUPED = f"SELECT query_id, url, doc_id, source, min(pos) AS first_pos, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS name, max(score) AS score, coalesce(list(content ORDER BY chunk_id, -score, content) FILTER (content <> ''), []) AS cs FROM ({_RETRIEVED}) GROUP BY query_id, url, doc_id, source"
 
 
-@query("group_evidence", f"""SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY first_pos)::BIGINT AS doc, first_pos, name, score, listing, n_chunks, contents FROM (
-    SELECT query_id, url, min(pos) AS first_pos, coalesce(arg_min(name, pos) FILTER (name <> ''), '') AS name, max(score) AS score, bool_or(listing) AS listing, count(*)::BIGINT AS n_chunks, string_agg(content, '|' ORDER BY chunk_id, -score, content) AS contents FROM ({_RETRIEVED}) GROUP BY query_id, url)""")
+@query("group_evidence", f"""SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY first_pos)::BIGINT AS doc, first_pos, name, score, doc_id % 5 = 0 AS listing, len(cs)::BIGINT AS n_chunks, array_to_string(cs, '|') AS contents FROM ({_GROUPED})""")
 def _(t):
     g = context.group_evidence(_retrieved(t), "query_id", "url", "pos")
     return g.select("query_id", "url", F.col("doc").cast("long").alias("doc"), "first_pos", "name", "score", F.col("web_fetch_is_probable_listing").alias("listing"), F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.transform("chunks", lambda c: c["content"]), "|").alias("contents"))
@@ -337,13 +360,18 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@query("render_context", f"""WITH r AS ({_RETRIEVED}), g AS (SELECT query_id, url, min(pos) AS fp, coalesce(arg_min(name, pos) FILTER (name <> ''), '') AS name, arg_min(site_name, pos) AS site, max(score) AS score, list(content ORDER BY chunk_id, -score, content) AS cs FROM r GROUP BY ALL),
-    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fp) AS doc FROM g),
-    b AS (SELECT query_id, doc, '[Doc ' || doc || '] Evidence Block' || chr(10) || 'URL: ' || url || CASE WHEN name <> '' THEN chr(10) || 'Title: ' || name ELSE '' END || chr(10) || 'Source: ' || site || chr(10) || 'Retrieval score: ' || printf('%.3f', score) || chr(10) ||
-      CASE WHEN len(cs) = 1 THEN 'Evidence text: ' || cs[1] ELSE 'Evidence text:' || chr(10) || array_to_string(list_transform(cs, lambda c, i: '- Chunk ' || i || ': ' || c), chr(10)) END AS b FROM n)
+_SOURCE_LINE = "CASE doc_id % 3 WHEN 0 THEN 'webpage body, quality=' || printf('%.3f', (doc_id % 11) / 10.0::double) || CASE WHEN doc_id % 5 = 0 THEN ', possible listing page' ELSE '' END WHEN 1 THEN 'Search-result snippet fallback' || CASE WHEN doc_id % 2 = 0 THEN ', fetch_status=success' ELSE '' END ELSE '' END"
+_IMAGE_LINE = "CASE doc_id % 5 WHEN 0 THEN 'matched, score=' || printf('%.3f', (doc_id % 101) / 100.0::double) || ', decision=weak_match, images=' || (doc_id % 4) WHEN 1 THEN 'no page images available' WHEN 2 THEN '' WHEN 3 THEN 'CLIP image matching unavailable' ELSE 'page image fetch failed, failed_images=' || (doc_id % 3) END"
+
+
+@query("render_context", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_pos) AS doc, {_SOURCE_LINE} AS src, {_IMAGE_LINE} AS img FROM ({_GROUPED})),
+    b AS (SELECT query_id, doc, '[Doc ' || doc || '] Evidence Block' || chr(10) || 'URL: ' || url || CASE WHEN name <> '' THEN chr(10) || 'Title: ' || name ELSE '' END || chr(10) || 'Source: ' || source ||
+      CASE doc_id % 3 WHEN 1 THEN chr(10) || 'Page metadata - Published: 2024-01-02 (not necessarily the event date)' WHEN 0 THEN chr(10) || 'Page metadata - Last crawled: 2024-02-03 (not necessarily the event date)' ELSE '' END ||
+      chr(10) || 'Retrieval score: ' || printf('%.3f', score) || CASE WHEN src <> '' THEN chr(10) || 'Evidence source: ' || src ELSE '' END || CASE WHEN img <> '' THEN chr(10) || 'Image match: ' || img ELSE '' END ||
+      CASE len(cs) WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Evidence text: ' || cs[1] ELSE chr(10) || 'Evidence text:' || chr(10) || array_to_string(list_transform(cs, lambda c, i: '- Chunk ' || i || ': ' || c), chr(10)) END AS b FROM n)
     SELECT query_id, count(*)::BIGINT AS n_docs, sha256('Search Query:' || chr(10) || query_id || chr(10) || chr(10) || {_sql_text(context.RULES)} || chr(10) || chr(10) || {_sql_text(context.NOTE)} || chr(10) || chr(10) || 'Retrieved Context:' || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY doc)) AS digest FROM b GROUP BY query_id""")
 def _(t):
-    g = context.group_evidence(_retrieved(t), "query_id", "url", "pos").withColumn("date_published", F.lit("")).withColumn("query", F.col("query_id"))
+    g = context.group_evidence(_retrieved(t), "query_id", "url", "pos").withColumn("query", F.col("query_id"))
     return context.render_context(g, "query_id", "query", "url").select("query_id", F.col("n_docs").cast("long").alias("n_docs"), F.sha2("context", 256).alias("digest"))
 
 
@@ -359,9 +387,10 @@ def _(t):
     return r.select("event_type", "count", F.round("total", 4).alias("total"), F.round("avg", 6).alias("avg"), F.round("share", 9).alias("share"))
 
 
-@query("infer_group", "SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN 'given' WHEN contains(lower(text), 'ing') OR conv_id <= 22 THEN 'dynamic_web_qa' ELSE 'static_vqa' END AS grp FROM conversations")
+@query("infer_group", f"SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN 'given' WHEN len(list_filter([{_in(config.DYNAMIC_TERMS)}], lambda k: contains(lower(coalesce(text, '') || CASE WHEN conv_id % 4 = 0 THEN ' in 2025' ELSE '' END), k))) > 0 OR conv_id <= 22 THEN 'dynamic_web_qa' ELSE 'static_vqa' END AS grp FROM conversations")
 def _(t):
-    return t("conversations").select("conv_id", "turn", reports.infer_group(F.when(F.col("conv_id") % 10 == 0, "given").otherwise(""), F.col("text"), F.col("conv_id"), ["ing"]).alias("grp"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 4 == 0, " in 2025").otherwise(""))
+    return t("conversations").select("conv_id", "turn", reports.infer_group(F.when(F.col("conv_id") % 10 == 0, "given").otherwise(""), said, F.col("conv_id"), config.DYNAMIC_TERMS).alias("grp"))
 
 
 @query("match_status_counts", "SELECT status, decision, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'no_images' ELSE 'matched' END AS status, CASE WHEN event_id % 7 = 0 THEN 'no_images' WHEN event_id % 101 >= 50 THEN 'strong_match' WHEN event_id % 101 >= 35 THEN 'weak_match' ELSE 'low_similarity' END AS decision FROM events) GROUP BY ALL")
@@ -398,13 +427,13 @@ def _(t):
 
 
 def _responses_a(t):
-    hit = F.struct((F.col("page_id") % 10).cast("int").alias("position"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 11 == 0, "").otherwise(F.col("url")).alias("link"), F.substring("html", 1, 30).alias("snippet"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://i.example.com/"), F.col("page_id").cast("string"), F.lit(".png"))).otherwise(F.lit("https://i.example.com/logo.png")).alias("thumbnail"))
+    hit = F.struct((F.col("page_id") % 10).cast("int").alias("position"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 11 == 0, "").otherwise(F.col("url")).alias("link"), F.col("html").alias("snippet"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://i.example.com/"), F.col("page_id").cast("string"), F.lit(".png"))).otherwise(F.lit("https://i.example.com/logo.png")).alias("thumbnail"))
     rows = t("pages").groupBy((F.col("page_id") % 6).alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", hit.alias("h")))).alias("hs"))
     return rows.select("query_id", F.to_json(F.struct(F.transform("hs", lambda x: x["h"]).alias("organic_results"))).alias("body"))
 
 
 @query("parse_hits", f"""WITH p AS (SELECT page_id % 6 AS query_id, row_number() OVER (PARTITION BY page_id % 6 ORDER BY page_id) - 1 AS pos, * FROM pages), k AS (SELECT *, {_CANON} AS canonical_url FROM p WHERE page_id % 11 <> 0)
-    SELECT query_id, pos::BIGINT AS pos, url, canonical_url, 'P' || page_id AS name, trim(substr(html, 1, 30)) AS content, CASE WHEN page_id % 3 = 0 THEN 'https://i.example.com/' || page_id || '.png' ELSE '' END AS images FROM k QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY pos) = 1""")
+    SELECT query_id, pos::BIGINT AS pos, url, canonical_url, 'P' || page_id AS name, substr(trim(html), 1, 800) AS content, CASE WHEN page_id % 3 = 0 THEN 'https://i.example.com/' || page_id || '.png' ELSE '' END AS images FROM k QUALIFY row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY pos) = 1""")
 def _(t):
     return search.parse_hits(_responses_a(t), "query_id", "body").select("query_id", F.col("pos").cast("long").alias("pos"), "url", "canonical_url", "name", "content", F.array_join("image_urls", " ").alias("images"))
 
@@ -615,3 +644,134 @@ def _(t):
     e = t("embeddings")
     pairs = match.all_pairs(e.select("label", "embedding"), e.where("vec_id = 0").select(F.col("embedding").alias("prompt_vector")))
     return page_image_score(pairs.select("label", vectors.dot(F.col("embedding"), F.col("prompt_vector")).alias("s")), "label", "s").withColumn("score", F.round("score", 6))
+
+
+@query("search_source", "SELECT text AS query, 'https://search.example.com/' || length(trim(text) || ' site:a.org') || '?tbs=qdr:w' AS url, 'about ' || trim(text) || ' site:a.org' AS name FROM benchmark")
+def _(t):
+    from siftwood.sources.search import SearchSource
+
+    asked = t("benchmark").select("text")
+    asked.sparkSession.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    asked.sparkSession.dataSource.register(SearchSource)
+    wanted = json.dumps([r["text"] for r in asked.collect()])  # a stated query set
+    found = asked.sparkSession.read.format("siftwood_search").option("queries", wanted).option("freshness", "oneWeek").option("include", "site:a.org").option("handler", "siftwood.sources.offline:echo_search").load()
+    return search.parse_hits(found, "query", "body").select("query", "url", "name")
+
+
+@query("sufficiency_loop", """SELECT item_id AS question_id, CASE item_id % 3 WHEN 0 THEN 1 ELSE 3 END AS rounds, CASE item_id % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' END AS verdict,
+    CASE item_id % 3 WHEN 0 THEN 'found: ' || text || '@1' WHEN 1 THEN 'found: ' || text || '@1' || chr(10) || chr(10) || 'found: more@3' || chr(10) || chr(10) || 'found: more@5' ELSE 'found: ' || text || '@1' || chr(10) || chr(10) || 'found: ' || text || '@3' || chr(10) || chr(10) || 'found: ' || text || '@5' END AS context FROM benchmark""")
+def _(t):
+    from siftwood.plans.retrieval import answer_loop
+
+    questions = t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+    scratch = Scratch(questions.sparkSession, "sufficiency-loop")
+    find = lambda q: q.select("question_id", F.concat(F.lit("found: "), "query", F.lit("@"), F.col("start").cast("string")).alias("context"), F.lit(2).alias("n_docs"))
+    said = F.when(F.col("question_id") % 3 == 0, '{"judgement": "YES"}').when(F.col("question_id") % 3 == 1, 'It says {"judgement": "no", "addition": "more"}').otherwise("I can't tell")
+    ask = lambda c: c.select("question_id", model_text.sufficiency(said).alias("s")).select("question_id", "s.judgement", "s.addition")
+    return scratch.keep(answer_loop(questions, find, ask, scratch.write))
+
+
+@query("eval_modes", f"""WITH r AS (SELECT conv_id, turn, raw, reason IN ('RAG_RISK_SIGNAL', 'NO_HIGH_CONFIDENCE_RULE_MATCH') AS routed FROM ({_ROUTE.replace("AS reason FROM b", "AS reason, raw FROM b")})),
+    m AS (SELECT *, unnest(['no_rag', 'text_only_rag', 'full_rag', 'route_router']) AS mode FROM r)
+    SELECT conv_id, turn, mode, CASE mode WHEN 'no_rag' THEN false WHEN 'route_router' THEN routed ELSE true END AS use_rag, list_extract(string_split(raw, chr(10)), -1) AS prediction,
+    length('Prediction:' || chr(10) || list_extract(string_split(raw, chr(10)), -1)) % 2 = 0 AS correct FROM m WHERE raw <> ''""")
+def _(t):
+    from siftwood.operators import models
+    from siftwood.sources.offline import agreeing_judge, doubting_judge, last_line
+
+    asked = _asked(t).where("raw <> ''")
+    contexts = lambda q, images: q.withColumn("context", F.lit("[Doc 1] Evidence Block\nwith images" if images else "[Doc 1] Evidence Block"))
+    out = None
+    for mode in models.MODES:
+        said = models.answer_questions(asked, "raw", mode, contexts, last_line, doubting_judge)
+        out = said if out is None else out.unionByName(said)
+    judged = models.judge(out, F.concat(F.lit("Prediction:\n"), "prediction"), agreeing_judge)
+    return judged.select("conv_id", "turn", "mode", "use_rag", "prediction", F.col("judge_correct").alias("correct"))
+
+
+@query("choose_freshness", "SELECT item_id, list_extract(['oneDay', 'oneWeek', 'noLimit', 'oneYear'], (item_id % 4 + 1)::int) AS freshness FROM benchmark")
+def _(t):
+    from siftwood.operators.models import choose_freshness
+    from siftwood.sources.offline import last_line
+
+    tails = F.element_at(F.array(*[F.lit(x) for x in ("\noneDay", "\nI choose oneWeek.", "\nwhatever", "\noneYear or noLimit")]), (F.col("item_id") % 4 + 1).cast("int"))
+    return choose_freshness(t("benchmark").withColumn("text", F.concat("text", tails)), "text", last_line).select("item_id", "freshness")
+
+
+@query("eval_sample", "SELECT doc_id, quality FROM labels ORDER BY doc_id LIMIT 50 OFFSET 10")
+def _(t):
+    return select.sample(t("labels").select("doc_id", "quality"), [F.col("doc_id")], 10, 50)
+
+
+@query("session_store", "SELECT vec_id, label, len(embedding)::BIGINT AS n, round(embedding[1]::double, 6) AS first FROM embeddings WHERE label % 2 = 0")
+def _(t):
+    e = t("embeddings").select("vec_id", "label", "embedding")
+    scratch = Scratch(e.sparkSession, "session-store")
+    for name in ("even", "odd", "even"):  # a session is replaced, the other stays
+        state.save_session(e.where(F.col("label") % 2 == int(name == "odd")), scratch.path, name, "chunks")
+    back = state.load_session(e.sparkSession, scratch.path, "even", "chunks")
+    return scratch.keep(back.select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first")))
+
+
+@query("append_queries", "SELECT conv_id, text FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, any_value(text ORDER BY turn) FROM conversations c WHERE turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = 0 AND lower(d.text) = lower(c.text)) GROUP BY conv_id, lower(text)")
+def _(t):
+    c = t("conversations")
+    return state.append_queries(c.where("turn = 0").select("conv_id", "text"), c.where("turn > 0").select("conv_id", "text"), "conv_id", "text")
+
+
+@query("result_sinks", "WITH s AS (SELECT lang, count(*) AS n, avg(quality) AS q, avg(n_chars) AS l FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)) SELECT coalesce(lang, 'overall') || ' (' || n || '): ' || printf('%.2f', q * 100) || '%, ' || printf('%.3f', l) || ' s' AS line FROM s UNION ALL SELECT doc_id::VARCHAR || ' ' || quality FROM labels")
+def _(t):
+    rows = t("labels").join(t("documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    scratch = Scratch(rows.sparkSession, "result-sinks")
+    reports.write_results(rows.select("doc_id", "quality"), reports.eval_summary(rows, "lang", "quality", "n_chars"), "lang", scratch.path)
+    spark = rows.sparkSession
+    written = spark.read.schema("doc_id long, quality int").json(f"{scratch.path}/results").select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("quality").cast("string")).alias("line"))
+    return scratch.keep(spark.read.text(f"{scratch.path}/report").select(F.col("value").alias("line")).unionByName(written))
+
+
+@query("image_sink", "SELECT DISTINCT substr(sha256(u), 1, 16) AS key, u AS url FROM (SELECT 'https://img.example.com/' || (page_id % 40) || '.jpg' AS u, page_id % 40 AS n FROM pages) WHERE n % 5 <> 0 AND n % 7 <> 0")
+def _(t):
+    from siftwood.operators.models import save_images
+
+    n = F.col("page_id") % 40
+    images = t("pages").select(F.concat(F.lit("https://img.example.com/"), n.cast("string"), F.lit(".jpg")).alias("url"), F.when(n % 7 != 0, F.encode(F.col("html"), "utf-8")).alias("body"), F.when(n % 5 == 0, "text/html").otherwise("image/jpeg; q=1").alias("content_type"))
+    scratch = Scratch(images.sparkSession, "image-sink")
+    for _ in range(2):  # known keys are not written again
+        save_images(images, f"{scratch.path}/images")
+    return scratch.keep(images.sparkSession.read.parquet(f"{scratch.path}/images").select("key", "url"))
+
+
+@query("image_states", """WITH u AS (SELECT page_id, k, 'https://img.example.com/' || ((page_id + k) % 40) || '.jpg' AS url, ((page_id + k) % 40) % 10 = 7 AS bad FROM pages, unnest(range(0, 3)) AS r(k))
+    SELECT page_id, coalesce(string_agg(url, ' ' ORDER BY k) FILTER (NOT bad), '') AS embedded, coalesce(string_agg(url, ' ' ORDER BY k) FILTER (bad), '') AS failed FROM u GROUP BY page_id""")
+def _(t):
+    from siftwood.operators.models import image_states, page_images
+    from siftwood.sources.offline import hash_images, some_bytes
+
+    i = F.col("page_id")
+    docs = t("pages").select("page_id", F.array(*[F.concat(F.lit("https://img.example.com/"), ((i + k) % 40).cast("string"), F.lit(".jpg")) for k in range(4)]).alias("image_urls"))
+    states = image_states(page_images(docs, "page_id", "image_urls", some_bytes, hash_images), "page_id")
+    return states.select("page_id", F.array_join("embedded_urls", " ").alias("embedded"), F.array_join("failed_urls", " ").alias("failed"))
+
+
+@query("image_statuses", """WITH d AS (SELECT DISTINCT label FROM embeddings UNION ALL SELECT 100) SELECT d.label, how, CASE how WHEN 'asked' THEN CASE WHEN d.label = 100 THEN 'no_images' WHEN d.label = 3 THEN 'download_failed' ELSE 'matched' END WHEN 'none' THEN 'not_requested' ELSE 'unavailable' END AS status,
+    CASE WHEN how <> 'asked' OR d.label IN (3, 100) THEN 0 ELSE (SELECT count(*) FROM embeddings e WHERE e.label = d.label) END::BIGINT AS images, CASE WHEN how = 'asked' AND d.label = 3 THEN (SELECT count(*) FROM embeddings e WHERE e.label = 3) ELSE 0 END::BIGINT AS failed
+    FROM d, (VALUES ('asked'), ('none'), ('broken')) AS h(how)""")
+def _(t):
+    e = t("embeddings").select("label", F.when(F.col("label") != 3, F.col("embedding")).alias("vector"))
+    prompts = t("embeddings").where("vec_id < 3").select(F.col("embedding").alias("prompt_vector"))
+    docs = e.select("label").distinct().unionByName(e.sparkSession.createDataFrame([(100,)], "label int"))
+    out = None
+    for how, given in (("asked", prompts), ("none", prompts.limit(0)), ("broken", None)):
+        one = match.image_match(e, given, "label", docs=docs).select("label", F.lit(how).alias("how"), F.col("image_match_status").alias("status"), F.col("image_count").alias("images"), F.col("failed_count").alias("failed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("fetch_statuses", "SELECT url, list_extract(['success', 'http_error', 'http_error', 'request_failed', 'unsupported_content_type', 'short_content', 'invalid_url'], CASE WHEN page_id % 13 = 0 THEN 7 ELSE page_id % 6 + 1 END::int) AS fetch_status, CASE WHEN page_id % 13 = 0 THEN '' ELSE list_extract(['', 'HTTP 404', 'HTTP 503', 'no answer', 'unsupported content type: image/png', ''], (page_id % 6 + 1)::int) END AS error FROM (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'ftp' ELSE 'https' END || '://pages.example.com/' || page_id AS url FROM pages)")
+def _(t):
+    from siftwood.operators.pages import fetch_pages
+    from siftwood.sources.offline import varied_fetch
+
+    i = F.col("page_id")
+    links = t("pages").select(F.concat(F.when(i % 13 == 0, "ftp").otherwise("https"), F.lit("://pages.example.com/"), i.cast("string")).alias("url"))
+    return fetch_pages(links, varied_fetch, 8, pause=0.0).select(F.col("requested_url").alias("url"), "fetch_status", "error")

@@ -46,3 +46,38 @@ def echo_bytes(urls: list[str]) -> list[bytes]:
 
 def hash_images(bodies: list[bytes]) -> list[list[float]]:
     return hash_embedding([b.decode() for b in bodies])
+
+
+def echo_search(request: dict) -> str:
+    """A search provider with one hit a query, which repeats the request."""
+    import json
+
+    q = request["q"]
+    return json.dumps({"organic_results": [{"position": 1, "title": f"about {q}", "link": f"https://search.example.com/{len(q)}?tbs={request.get('tbs', 'none')}", "snippet": q, "source": "echo"}]})
+
+
+def last_line(prompts: list[str]) -> list[str]:
+    """A model that repeats the last line of its prompt."""
+    return [(p or "").split("\n")[-1] for p in prompts]
+
+
+def some_bytes(urls: list[str]) -> list[bytes | None]:
+    """A download that fails for URLs whose number ends in 7."""
+    return [None if u.split(".")[-2].endswith("7") else u.encode() for u in urls]
+
+
+def agreeing_judge(prompts: list[str]) -> list[str]:
+    """A judge that finds prompts of an even length correct."""
+    return ['{"verdict": "CORRECT"}' if len(p or "") % 2 == 0 else "Incorrect." for p in prompts]
+
+
+def varied_fetch(urls: list[str]) -> list[dict]:
+    """A network whose answer depends on the last number of a URL: pages, a missing one, a failing server, no answer, an image, a short page."""
+    out = []
+    for u in urls:
+        kind = int(u.rsplit("/", 1)[-1]) % 6
+        if kind == 3:
+            raise ConnectionError("no answer")
+        text = "A sentence of the page that goes on for a while. " * (2 if kind == 5 else 20)
+        out.append({"status_code": {1: 404, 2: 503}.get(kind, 200), "content_type": "image/png" if kind == 4 else "text/html", "body": f"<html><body><article><p>{text}</p></article></body></html>"})
+    return out

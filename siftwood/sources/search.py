@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+from siftwood.config import NO_RESULTS
+
 
 class _Request(InputPartition):
     def __init__(self, query: str):
@@ -15,11 +17,11 @@ class _Request(InputPartition):
 
 
 class SearchSource(DataSource):
-    """`format("siftwood_search")`: one partition a query, each answered by a batch function.
+    """`format("siftwood_search")`: one partition a query, each answered by a request function.
 
-    Options: queries (a JSON list), provider ("a" or "b"), count, freshness, handler ("module:function", which takes
-    query, provider, count and freshness and returns the provider's JSON text). A filter on freshness is pushed to the provider
-    (this takes spark.sql.python.filterPushdown.enabled).
+    Options: queries (a JSON list), provider ("a" or "b"), count, freshness, include, exclude, handler ("module:function", which takes the request
+    and returns the provider's JSON text, or a status and the text). A filter on freshness is pushed into the request (this takes
+    spark.sql.python.filterPushdown.enabled).
     """
 
     @classmethod
@@ -33,14 +35,48 @@ class SearchSource(DataSource):
         return SearchReader(self.options)
 
 
+#: Provider A's codes of the freshness windows, and its errors that mean an empty result.
+FRESHNESS_CODES = {"oneDay": "qdr:d", "oneWeek": "qdr:w", "oneMonth": "qdr:m", "oneYear": "qdr:y"}
+MOST = {"a": 100, "b": 50}
+
+
+def request_of(provider: str, query: str, count: int, freshness: str, include: str = "", exclude: str = "") -> dict:
+    """What a provider is asked: provider A takes the sites as words of the query and a code for freshness, provider B fields of their own."""
+    if not 1 <= count <= MOST[provider]:
+        raise ValueError(f"count must be between 1 and {MOST[provider]}")
+    if provider == "a":
+        code = FRESHNESS_CODES.get(freshness)
+        return {"q": " ".join(x for x in (query.strip(), include, exclude) if x), "num": count} | ({"tbs": code} if code else {})
+    return {"query": query, "freshness": freshness, "summary": True, "count": count} | {k: v for k, v in (("include", include), ("exclude", exclude)) if v}
+
+
+def checked(provider: str, answer: str | tuple[int, str]) -> str:
+    """A provider's answer, or an error for what is none: no JSON, another status than 200, or an error inside. "No results" is an empty answer."""
+    status, body = answer if isinstance(answer, tuple) else (200, answer)
+    try:
+        said = json.loads(body)
+    except ValueError as e:
+        raise RuntimeError(f"provider {provider} returned no JSON (status {status})") from e
+    if provider == "a":
+        problem = str(said.get("error") or "").strip()
+        if problem and status == 200 and any(x in problem.lower() for x in NO_RESULTS):
+            return json.dumps({"organic_results": []})
+    else:
+        problem = "" if said.get("code", 200) == 200 else f"code {said.get('code')}, {said.get('msg') or said.get('message')}"
+    if status != 200 or problem:
+        raise RuntimeError(f"provider {provider} failed: status {status}, {problem or said.get('message') or said.get('msg')}")
+    return body
+
+
 class SearchReader(DataSourceReader):
     def __init__(self, options):
         self.queries = json.loads(options.get("queries", "[]"))
         self.provider = options.get("provider", "a")
-        if self.provider not in ("a", "b"):
+        if self.provider not in MOST:
             raise ValueError(f"unknown search provider {self.provider!r}")
-        self.count = max(1, min(int(options.get("count", "10")), 100 if self.provider == "a" else 50))
+        self.count = int(options.get("count", "10"))
         self.freshness = options.get("freshness", "noLimit")
+        self.sites = options.get("include", ""), options.get("exclude", "")
         self.handler = options.get("handler", "siftwood.sources.search:no_results")
 
     def pushFilters(self, filters):
@@ -57,13 +93,14 @@ class SearchReader(DataSourceReader):
         from importlib import import_module
 
         module, _, function = self.handler.partition(":")
-        answer = getattr(import_module(module), function)
-        yield (partition.value, self.provider, self.freshness, answer(partition.value, self.provider, self.count, self.freshness))
+        ask = getattr(import_module(module), function)
+        request = request_of(self.provider, partition.value, self.count, self.freshness, *self.sites)
+        yield (partition.value, self.provider, self.freshness, checked(self.provider, ask(request)))
 
 
-def no_results(query: str, provider: str, count: int, freshness: str) -> str:
+def no_results(request: dict) -> str:
     """The offline default: an empty answer."""
-    return json.dumps({"organic_results": []} if provider == "a" else {"data": {"webPages": {"value": []}}})
+    return json.dumps({"organic_results": []} if "q" in request else {"code": 200, "data": {"webPages": {"value": []}}})
 
 
 def corpus_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

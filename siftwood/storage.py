@@ -51,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
     full = cores * int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < full else df
 
 

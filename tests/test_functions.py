@@ -16,9 +16,12 @@ def test_canonical_url(spark):
     assert url.canonical(raw) == "https://example.com/a/b?a=1&b=2"
     assert url.canonical("http://example.com:99999/") == ""
     assert url.canonical("ftp://example.com/") == "" and url.canonical(None) == ""
-    assert one(spark, url.canonical_url(F.lit(raw), python=True)) == "https://example.com/a/b?a=1&b=2"
-    for plain in ("https://m.example.com/x/?b=2&a=1&ref=z#f", "//Example.com", "http://a.b/", "http://a.b/x?b&c=1&d="):
-        assert one(spark, url.canonical_url(F.lit(plain))) == url.canonical(plain)
+    hard = ["http://a.b/", "https://m.example.com/x/?b=2&a=1&ref=z#f", "//Example.com", "http://a.b/x?b&c=1&d=", "https://e.com/a%20b", "https://e.com/über", "https://e.com/?q=a+b", "https://e.com:443/", "https://e.com:8080/x", "https://e.com:0/x", "https://e.com:/x"]
+    hard += ["http://u:p@e.com/x", "http://e.com/%zz", "http://e.com/%E9", "http://[::1]:80/x", "http://[bad/x", "http://münchen.de/ü", "https://e.com/?a=b=c", "https://e.com/a//b//", "http://e.com./x", "https://e.com/?a=%26&b=%3D+", "HTTP://E.COM/A;p=1?x=~*", "http://e.com/a b", "mailto:x@e.com", "http:///x", "http://e.com:65536/", "https://e.com/?=v&k=", "  http://e.com/x  ", "http://e.com/?UTM_Source=x&From=y&q=1", "http://e.com?a=1#b?c=2", "http://e.com/日本?k=語", "http://e\x00.com/", "http://e.com/x\ny"]
+    got = {r["u"]: r["c"] for r in spark.createDataFrame([(u,) for u in hard], "u string").select("u", url.canonical_url(F.col("u")).alias("c")).collect()}
+    assert got == {u: url.canonical(u) for u in hard}
+    assert one(spark, url.canonical_url(F.lit(raw))) == "https://example.com/a/b?a=1&b=2"
+    assert one(spark, url.canonical_url(F.lit(None).cast("string"))) == ""
 
 
 @given(st.from_regex(r"https?://(m\.|www\.)?[a-z]{1,8}\.(com|org)(/[a-z0-9]{0,4}){0,3}/?(\?[a-z]{1,3}=[0-9a-z]{0,3}(&[a-z]{1,3}=[0-9]{1,3})?)?(#[a-z]*)?", fullmatch=True))
@@ -120,3 +123,30 @@ def test_scores(spark):
     assert one(spark, scoring.lexical_score(text.lexical_tokens(F.lit("a b")), text.lexical_tokens(F.lit("A c 中")))) == 0.75 / 2 + 0.25 / 3
     assert one(spark, text.listing_noise(F.lit("Latest news and trending"))) is True
     assert one(spark, text.text_signature(F.lit("Ab-c² 中!"))) == "abc²中"
+
+
+def test_unreadable_dates_and_numbers(spark):
+    assert one(spark, scoring.freshness(F.lit("Feb 3, 2024"), "2024-02-15 00:00:00")) == 0.0
+    assert one(spark, scoring.freshness(F.lit("2024-02-10T08:00:00Z"), "2024-02-15 00:00:00")) == 0.04
+    assert one(spark, text.safe_float(F.lit("1.5"))) == 1.5 and one(spark, text.safe_float(F.lit("x"))) == 0.0
+
+
+def test_charsets():
+    assert readable.decode_body("日本語のテキスト、ここにあります".encode("shift_jis")) == "日本語のテキスト、ここにあります"
+    assert readable.decode_body("中文网页的内容在这里，很长的一段".encode("gb18030")) == "中文网页的内容在这里，很长的一段"
+    assert readable.decode_body("déjà vu à côté".encode("cp1252")) == "déjà vu à côté" == readable.decode_body("déjà vu à côté".encode())
+    assert readable.decode_body("words".encode("utf-16")) == "words" and readable.decode_body("é".encode("latin-1"), "text/html; charset=latin-1") == "é"
+    assert readable.decode_body(b'<meta charset="nonsense">x').endswith("x")
+
+
+def test_assignment_is_the_best_of_all():
+    from itertools import permutations
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 6)):
+        for _ in range(8):
+            s = rng.normal(size=(n, m)).round(1)
+            best = max(sum(s[r, c] for r, c in (zip(range(n), p) if n <= m else zip(p, range(m)))) for p in permutations(range(max(n, m)), min(n, m)))
+            assert abs(sum(s[r, c] for r, c in model_text.assign(s)) - best) < 1e-9

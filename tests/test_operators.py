@@ -186,6 +186,60 @@ def test_dedup_corpus_equals_the_plain_greedy(spark):
     assert sorted(r["id"] for r in dedup.dedup_corpus(df, "i", "s").collect()) == want
 
 
+def test_dedup_of_the_tables_equals_plain_comparison(spark):
+    """Documents of one query, and the whole table, against difflib alone, which compares each document with all that were kept."""
+    from difflib import SequenceMatcher
+
+    import __spark_entry__ as entry
+    from siftwood.functions.text import text_signature
+    from siftwood.sources.search import corpus_search
+
+    sf = "/root/testdata/sf0.001"
+
+    def alike(a, b):
+        if 2 * min(len(a), len(b)) < 0.9 * (len(a) + len(b)):
+            return False
+        m = SequenceMatcher(None, a, b)
+        return m.quick_ratio() >= 0.9 and m.ratio() >= 0.9
+
+    def greedy(rows):
+        kept = []
+        for i, s in rows:
+            if len(s) < 80 or not any(alike(s, k) for _, k in kept):
+                kept.append((i, s))
+        return [i for i, _ in kept]
+
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    sigs = {r["doc_id"]: r["s"] for r in docs.select("doc_id", text_signature(F.col("text")).alias("s")).collect()}
+    assert sorted(r["id"] for r in entry.queries()["dedup_corpus"](spark, sf).collect()) == sorted(greedy(sorted(sigs.items())))
+    got = {}
+    for r in entry.queries()["dedup_docs"](spark, sf).orderBy("query", "pos").collect():
+        got.setdefault(r["query"], []).append(r["doc_id"])
+    hits = corpus_search(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), docs, 30).orderBy("query_id", "rank").collect()
+    for q in sorted(got)[:12]:
+        assert got[q] == greedy([(r["doc_id"], sigs[r["doc_id"]]) for r in hits if r["query_id"] == q])
+
+
+def test_keep_first_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("", 3), ("", 4), (None, 5)], "k string, p long")
+    assert sorted(r["p"] for r in dedup.keep_first(df, ["k"], ["p"]).collect()) == [1, 3, 4, 5]
+
+
+def test_search_requests_and_errors():
+    import pytest
+
+    from siftwood.sources.search import checked, request_of
+
+    assert request_of("a", " q ", 10, "oneWeek", "site:a.org", "-site:b.org") == {"q": "q site:a.org -site:b.org", "num": 10, "tbs": "qdr:w"}
+    assert request_of("b", "q", 5, "oneDay", exclude="b.org") == {"query": "q", "freshness": "oneDay", "summary": True, "count": 5, "exclude": "b.org"}
+    assert checked("a", '{"error": "No results found"}') == '{"organic_results": []}'
+    for provider, answer in (("a", '{"error": "bad key"}'), ("a", (500, "{}")), ("b", '{"code": 403, "msg": "no"}'), ("b", "<html>")):
+        with pytest.raises(RuntimeError):
+            checked(provider, answer)
+    with pytest.raises(ValueError):
+        request_of("b", "q", 51, "noLimit")
+
+
 def test_dedup_docs_query_groups_by_search_hits(spark):
     import __spark_entry__ as entry
 
