@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.storage import Scratch
+from siftwood.storage import Scratch, spread
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one too small to fill the cores by itself is spread over them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
