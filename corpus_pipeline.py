@@ -43,7 +43,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: The stages learn, draw and iterate, which SQL doesn't express; tests hold each against a brute-force version.
+#: The stages learn, draw and iterate, which SQL doesn't express; a test runs their plain versions one after the other and compares.
 ORACLE_SQL = None
 
 
