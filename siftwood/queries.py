@@ -154,9 +154,9 @@ _SITES = [".gov", ".edu", ".forum.org", ".reuters.com", ".net"]
 @query("source_reliability", f"""SELECT page_id, {_RELIABLE} AS reliability FROM (SELECT page_id, h, h || ' ' || lower({_PATH}) || ' ' AS s FROM
     (SELECT page_id, url, {_DOMAIN} || list_extract([{_in(_SITES)}], (page_id % 5 + 1)::int) AS h FROM pages))""")
 def _(t):
-    canon = url.canonical_url(F.col("url"))
-    host = F.concat(url.domain_key(canon), F.element_at(F.array(*[F.lit(s) for s in _SITES]), (F.col("page_id") % 5 + 1).cast("int")))
-    return t("pages").select("page_id", scoring.source_reliability(host, F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), F.lit("")).alias("reliability"))
+    pages = t("pages").select("page_id", "url", url.domain_key(url.canonical_url(F.col("url"))).alias("domain"))
+    host = F.concat("domain", F.element_at(F.array(*[F.lit(s) for s in _SITES]), (F.col("page_id") % 5 + 1).cast("int")))
+    return pages.select("page_id", scoring.source_reliability(host, F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), F.lit("")).alias("reliability"))
 
 
 @query("evidence_score", f"""SELECT event_id, round(v + ca + qb + ib + fb + lp, 9) AS total_score, ca AS content_adjustment, qb AS quality_bonus, round(ib, 9) AS image_bonus, lp AS listing_penalty FROM (
