@@ -32,16 +32,16 @@ BROADCAST_SEEDS = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
+    """The words of a text; of one without any, the empty word."""
     bare = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[!-/:-@\[-`{-~]+", "")
-    bare = F.regexp_replace(bare, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+    return F.split(F.regexp_replace(bare, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
 
 
 def _seeds(words: str, pos: str, short: list[int]) -> Column:
     """One seed a mask at a place, null where the mask passes the end, and one seed for each length of short items."""
     out = []
     for k, mask in enumerate([*MASKS, *[tuple(range(n)) for n in short]]):
-        at = ", ".join(f"{words}[{pos} + {i}]" if i else f"{words}[{pos}]" for i in mask)
+        at = ", ".join(f"get({words}, {pos} + {i})" for i in mask)  # shorter generated code than [], which checks bounds
         out.append(f"CASE WHEN {pos} + {mask[-1]} < size({words}) THEN xxhash64({k if k < len(MASKS) else 100 + len(mask)}, {at}) END")
     return F.expr(f"array({', '.join(out)})")
 
@@ -56,7 +56,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, str
     doc_key is a hash of the id and text, which names the row where ids are null or repeat.
     """
     item_key = F.xxhash64(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).alias("item_key")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), item_key, plain_words(F.col(item_text_col)).alias("item_words")).where("size(item_words) > 0").distinct()
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), item_key, plain_words(F.col(item_text_col)).alias("item_words")).where("item_words[0] <> ''").distinct()
     # at most six lengths
     short = sorted(r[0] for r in items.where(F.size("item_words") < SHORTEST).select(F.size("item_words")).distinct().collect())
     whole = items.where(F.size("item_words") < SHORTEST)
