@@ -28,12 +28,13 @@ def _candidates(docs: DataFrame, queries: DataFrame, cfg: EngineConfig) -> DataF
     while True:
         pairs = lexical_topk(docs, queries, "tokens", width, cfg.chunks_per_doc, "chunks")
         near = topk(pairs, ["query_id"], order, width, "place").persist()
-        kept = topk(dedup_docs(near, "query_id", "canonical_url", "signature", "place", cfg.near_dup_docs, cfg.min_signature), ["query_id"], [F.col("place")], cfg.candidate_k, "kept_")
+        kept = topk(dedup_docs(near, "query_id", "canonical_url", "signature", "place", cfg.near_dup_docs, cfg.min_signature), ["query_id"], [F.col("place")], cfg.candidate_k, "kept_").persist()
         cut = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == width)
         full = kept.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == cfg.candidate_k)
         if cut.join(full, "query_id", "left_anti").isEmpty():
             return kept.drop("kept_", "signature")
         near.unpersist()
+        kept.unpersist()
         width *= 4
 
 
