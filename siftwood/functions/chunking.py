@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import groupby
 
 from siftwood.functions.readable import signature
 
@@ -42,23 +41,18 @@ def paragraphs(text: str) -> list[str]:
     parts = [p for p in parts if p]
     if _all_fragments(parts):
         return [x for x in (_rejoin(parts),) if x] or parts
-    # a Latin word that runs into a paragraph of another script ends a run of fragments
-    marked: list[tuple[int, str]] = []
-    run = 0
-    for p in parts:
-        if _is_fragment(p):
-            marked.append((2 * run + 1, p))
-            continue
-        if marked and marked[-1][0] == 2 * run + 1 and (m := _LATIN_HEAD.match(p)):
-            marked.append((2 * run + 1, m[0]))
-            p = p[m.end() :].strip()
-        run += 1
-        if p:
-            marked.append((2 * run, p))
     out: list[str] = []
-    for key, group in groupby(marked, key=lambda x: x[0]):
-        pieces = [p for _, p in group]
-        out += [_rejoin(pieces)] if key % 2 and len(pieces) >= 4 else pieces
+    at = 0
+    while at < len(parts):
+        end = next((i for i in range(at, len(parts)) if not _is_fragment(parts[i])), len(parts))
+        run, after = parts[at:end], parts[end] if end < len(parts) else ""
+        # a Latin word that runs into a paragraph of another script ends a run of fragments
+        if run and (head := _LATIN_HEAD.match(after)):
+            run.append(head[0])
+            after = after[head.end() :].strip()
+        out += [_rejoin(run)] if len(run) >= 4 else run
+        out += [after] if after else []
+        at = end + 1
     return out
 
 
