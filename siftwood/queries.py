@@ -519,7 +519,8 @@ def _(t):
     return t("events").select("event_id", model_text.freshness_choice(said).alias("freshness"))
 
 
-@query("entity_candidates")
+@query("entity_candidates", r"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS name, trim(coalesce(role, '')) AS role FROM conversations)
+    SELECT conv_id, turn, ((name <> '')::int + (role <> '')::int)::BIGINT AS n, concat_ws('|', CASE WHEN name <> '' THEN name || CASE WHEN lower(name) <> 'x' THEN '|x' ELSE '' END END, CASE WHEN role <> '' THEN role || CASE WHEN lower(role) <> 'alias' THEN '|alias' ELSE '' END END) AS variants FROM c""")
 def _(t):
     body = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.array(F.struct(F.col("role").alias("name"), F.lit(0.5).alias("confidence"), F.array(F.col("role"), F.lit("alias")).alias("aliases")), F.struct(F.col("text").alias("name"), F.lit(2.0).alias("confidence"), F.array(F.lit("x")).alias("aliases"))).alias("candidates"))))
     rows = t("conversations").select("conv_id", "turn", model_text.entity_candidates(body).alias("c"))
@@ -548,7 +549,9 @@ def _(t):
     return chunk_documents(t("documents").select("doc_id", "text"), size=EngineConfig().chunk_size)
 
 
-@query("page_fetch")
+@query("page_fetch", f"""WITH u AS (SELECT url, 'Body of ' || url || '. ' || rtrim(repeat('Text. ', 60)) AS t FROM pages)
+    SELECT url AS requested_url, 200 AS status_code, 'text/html' AS content_type, '' AS error, {_CANON} AS canonical_url, 'success' AS fetch_status, 'Page' AS title, t AS text, substr(t, 1, 500) AS excerpt, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS site_name, '' AS date_published, '' AS language, []::VARCHAR[] AS image_urls,
+    sha256(t) AS content_hash, 'html_parser' AS extraction_method, 0.65::double * least(length(t) / 3500.0::double, 1) + 0.25::double / 8 + 0.08::double AS quality_score, false AS is_probable_listing, 1 AS n_blocks, 0.0::double AS listing_density FROM u""")
 def _(t):
     from siftwood.operators.pages import fetch_pages
     from siftwood.sources.offline import fetch_nothing
@@ -608,7 +611,9 @@ def _(t):
     return should_use_rag(_asked(t), "raw", doubting_judge).select("conv_id", "turn", "reason", "use_rag")
 
 
-@query("generate_queries")
+@query("generate_queries", """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ws FROM benchmark),
+    m AS (SELECT item_id, ws, list_filter(ws, lambda x: length(x) = list_max(list_transform(ws, lambda y: length(y))))[1] AS longest FROM w)
+    SELECT item_id, 0 AS pos, array_to_string(list_concat(ws, [coalesce(longest, 'x')])[1:5], ' ') AS query FROM m""")
 def _(t):
     from siftwood.operators.models import generate_queries
     from siftwood.sources.offline import first_words, name_entities
@@ -775,3 +780,42 @@ def _(t):
     i = F.col("page_id")
     links = t("pages").select(F.concat(F.when(i % 13 == 0, "ftp").otherwise("https"), F.lit("://pages.example.com/"), i.cast("string")).alias("url"))
     return fetch_pages(links, varied_fetch, 8, pause=0.0).select(F.col("requested_url").alias("url"), "fetch_status", "error")
+
+
+def _as_stream(t, table: str) -> DataFrame:
+    """A table of the driver, a file or a folder of files, as a stream that ends with the files that are there."""
+    rows = t(table)
+    folder, name = rows.inputFiles()[0].rsplit("/", 1)
+    only = name if name == f"{table}.parquet" else "*.parquet"
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("pathGlobFilter", only).parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # event times need a time zone
+
+
+@query("stream_counts", """SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+    WHERE start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def _(t):
+    from siftwood.streaming.tables import counts_by_window, run_to_end
+
+    events = _as_stream(t, "events")
+    scratch = Scratch(events.sparkSession, "stream-counts")
+    counted = counts_by_window(events, ["event_type"], "ts", "6 hours", "1 day")
+    return scratch.keep(run_to_end(counted, f"{scratch.path}/counts", f"{scratch.path}/state").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n"))
+
+
+@query("stream_first_in_window", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    from siftwood.streaming.tables import first_in_window, run_to_end
+
+    events = _as_stream(t, "events").select("user_id", "event_type", "ts")
+    scratch = Scratch(events.sparkSession, "stream-first")
+    return scratch.keep(run_to_end(first_in_window(events, ["user_id", "event_type"], "ts"), f"{scratch.path}/first", f"{scratch.path}/state").select("user_id", "event_type"))
+
+
+@query("stream_upsert", "SELECT user_id, max(event_id) AS event_id, any_value(event_type ORDER BY event_id DESC) AS event_type, any_value(value ORDER BY event_id DESC) AS value FROM events GROUP BY user_id")
+def _(t):
+    from siftwood.streaming.tables import current, upsert_stream
+
+    events = _as_stream(t, "events").select("user_id", "event_id", "event_type", "value")
+    scratch = Scratch(events.sparkSession, "stream-upsert")
+    upsert_stream(events, f"{scratch.path}/users", f"{scratch.path}/state", "user_id", ["event_id", "event_type"], ["value"], "event_id").awaitTermination()
+    return scratch.keep(current(events.sparkSession, f"{scratch.path}/users"))

@@ -1 +1 @@
-"""The engine has no streaming operators: every plan is a batch over whole tables."""
+"""Structured Streaming forms of the tables that outlive a query."""

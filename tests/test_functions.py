@@ -150,3 +150,32 @@ def test_assignment_is_the_best_of_all():
             s = rng.normal(size=(n, m)).round(1)
             best = max(sum(s[r, c] for r, c in (zip(range(n), p) if n <= m else zip(p, range(m)))) for p in permutations(range(max(n, m)), min(n, m)))
             assert abs(sum(s[r, c] for r, c in model_text.assign(s)) - best) < 1e-9
+
+
+def test_text_pages_equal_plain_rules():
+    """Lines of every document: cleaned, without boilerplate, without those equal or alike to an earlier one by the plain ratio."""
+    import difflib
+
+    import pyarrow.parquet as pq
+
+    from siftwood.functions import readable
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    compared = dropped = 0
+    for text in table.column("text").to_pylist():
+        kept, sigs = [], []
+        for line in (text or "").splitlines():
+            line = " ".join(line.split())
+            sig = "".join(c for c in line if c.isalnum()).lower()[:1000]
+            if not sig or readable.boilerplate(line) or sig in sigs:
+                continue
+            # equal lengths bound the ratio from above, so most lines need no comparison
+            near = [s for s in sigs if min(len(s), len(sig)) >= 80 and 2 * min(len(s), len(sig)) >= 0.96 * (len(s) + len(sig))]
+            compared += len(near)
+            if any(difflib.SequenceMatcher(None, s, sig).ratio() >= 0.96 or difflib.SequenceMatcher(None, sig, s).ratio() >= 0.96 for s in near):
+                dropped += 1
+                continue
+            kept.append(line)
+            sigs.append(sig)
+        assert readable.read_text("https://e.com/", text)["text"] == "\n\n".join(kept)
+    assert compared > 100 and dropped > 0
