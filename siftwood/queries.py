@@ -550,13 +550,13 @@ def _(t):
 
 
 @query("page_fetch", f"""WITH u AS (SELECT url, 'Body of ' || url || '. ' || rtrim(repeat('Text. ', 60)) AS t FROM pages)
-    SELECT url AS requested_url, 200 AS status_code, 'text/html' AS content_type, '' AS error, {_CANON} AS canonical_url, 'success' AS fetch_status, 'Page' AS title, t AS text, substr(t, 1, 500) AS excerpt, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS site_name, '' AS date_published, '' AS language, []::VARCHAR[] AS image_urls,
+    SELECT url AS requested_url, 200 AS status_code, 'text/html' AS content_type, '' AS error, {_CANON} AS canonical_url, 'success' AS fetch_status, 'Page' AS title, t AS text, substr(t, 1, 500) AS excerpt, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS site_name, '' AS date_published, '' AS language, '' AS image_urls,
     sha256(t) AS content_hash, 'html_parser' AS extraction_method, 0.65::double * least(length(t) / 3500.0::double, 1) + 0.25::double / 8 + 0.08::double AS quality_score, false AS is_probable_listing, 1 AS n_blocks, 0.0::double AS listing_density FROM u""")
 def _(t):
     from siftwood.operators.pages import fetch_pages
     from siftwood.sources.offline import fetch_nothing
 
-    return fetch_pages(t("pages").select("url"), fetch_nothing, 8)
+    return fetch_pages(t("pages").select("url"), fetch_nothing, 8).withColumn("image_urls", F.array_join("image_urls", " "))
 
 
 @query("apply_fetched")

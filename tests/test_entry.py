@@ -32,7 +32,7 @@ def test_oracle(spark, duck, name):
     assert sorted(got.columns) == cols and _rows(got, cols) == _rows(want, cols)
 
 
-@pytest.mark.parametrize("name", ["entity_candidates", "html_extract", "text_extract", "chunk_document", "page_fetch", "hungarian", "dedup_docs", "dedup_corpus", "apply_fetched", "retrieve_context", "generate_queries", "page_images", "chunk_profiles"])
+@pytest.mark.parametrize("name", ["html_extract", "text_extract", "chunk_document", "hungarian", "dedup_docs", "dedup_corpus", "apply_fetched", "retrieve_context", "page_images", "chunk_profiles"])
 def test_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() >= 1
 
