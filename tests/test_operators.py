@@ -151,6 +151,28 @@ def test_retrieve_counts_freshness(spark):
     assert gain == {"https://a.example.com/p": 0.04, "https://b.example.com/p": 0.0}
 
 
+def test_digest_context_hashes_what_render_context_gives(spark):
+    """Blocks of many pieces, ties in chunk order, empty pages, a query without text; no plan step gathers the blocks of a query."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopé\u65e5 ") for _ in range(n))
+    rows = [(q, f"u{p}", 100 * p + k, k % 2, word(rng.choice((0, 5, 90, 400))), (p + k) % 3 / 2) for q in ("one", "", None) for p in range(12) for k in range(3)]
+    rows += [("one", "u99", 9900, 0, word(60_000), 1.0), ("one", "u99", 9901, 1, None, 0.5), ("two", None, 5, None, None, None)]
+    chunks = spark.createDataFrame(rows, "q string, u string, p long, chunk_id int, content string, score double")
+    named = lambda df: df.withColumn("text", F.concat(F.lit(" "), "q"))
+    want = context.render_context(named(context.group_evidence(chunks, "q", "u", "p")), "q", "text", "u", 4, "now").select("q", F.sha2("context", 256), "n_docs")
+    got = context.digest_context(named(context.group_pages(chunks, "q", "u", "p")), "q", "text", "u", 4, "now").select("q", "digest", "n_docs")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and got.count() == 4
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_shuffled_once(spark):
+    """Near copies are left out and pages grouped on one side of one shuffle."""
+    df = spark.createDataFrame([("q", "u", 1, "x" * 90), ("q", "u", 2, "x" * 90), ("q", "u", 3, "y")], "q string, u string, p long, content string").withColumns({"chunk_id": F.lit(1), "score": F.lit(0.5)})
+    got = context.group_pages(df, "q", "u", "p")
+    assert [len(r["chunks"]) for r in got.collect()] == [2]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_dedup_docs_forgets_urls_of_dropped_documents(spark):
     a, b = "abcdefghij" * 12, "klmnopqrst" * 12
     df = spark.createDataFrame([("q", "u1", a, 1), ("q", "u2", a[:-1] + "z", 2), ("q", "u2", b, 3)], "q string, u string, s string, p long")
