@@ -61,26 +61,45 @@ def dedup_docs(docs: DataFrame, query: str, url: str, signature: str, pos: str,
     return docs.groupBy(query).applyInArrow(keep, docs.schema)
 
 
+#: Signatures hashed at once, whose shingles stay in cache.
+_AT_ONCE = 32
+
+
 def _minhash(signature: Column, bands: int, rows: int, shingle: int) -> Column:
-    """One key a band: a hash of the minima of `rows` hash functions over the shingles."""
+    """One key a band: a hash of the minima of `rows` hash functions over the shingles; none for null. Signatures are no shorter than a shingle."""
     rng = np.random.default_rng(7)
     odd, add = rng.integers(1, 2**63, bands * rows, np.uint64) | np.uint64(1), rng.integers(0, 2**63, bands * rows, np.uint64)
     mix = rng.integers(1, 2**63, rows, np.uint64) | np.uint64(1)
 
-    def keys(s: str) -> np.ndarray:
-        codes = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        n, h = len(codes) - shingle + 1, np.uint64(0)
+    def keys(texts: list[str]) -> np.ndarray:
+        sizes = np.array([len(s) for s in texts])
+        codes, ends = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64), np.cumsum(sizes)
+        inside, h = np.ones(len(codes), bool), np.uint64(0)
         for i in range(shingle):
-            h = (h + codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h + codes[i : len(codes) - shingle + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        h = np.unique(h)
-        low = np.array([((h * x + y) ^ ((h * x + y) >> np.uint64(31))).min() for x, y in zip(odd, add)], np.uint64).reshape(bands, rows)
-        out = (low * mix).sum(1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(bands, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(shingle)
+            inside[ends[:, None] - np.arange(1, i + 1)] = False
+        h = h[inside[: len(h)]]
+        cuts, low = ends - sizes - np.arange(len(sizes)) * (shingle - 1), np.empty((len(sizes), bands * rows), np.uint64)
+        x, y = np.empty_like(h), np.empty_like(h)
+        for k in range(bands * rows):
+            np.multiply(h, odd[k], out=x)
+            np.add(x, add[k], out=x)
+            np.right_shift(x, np.uint64(31), out=y)
+            np.bitwise_xor(x, y, out=x)
+            low[:, k] = np.minimum.reduceat(x, cuts)
+        out = (low.reshape(-1, bands, rows) * mix).sum(2, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(bands, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(shingle)
         return (out ^ (out >> np.uint64(32))).view(np.int64)
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(keys)
+        given = [i for i, s in enumerate(texts) if s is not None]
+        out: list = [[]] * len(texts)
+        for at in range(0, len(given), _AT_ONCE):
+            part = given[at : at + _AT_ONCE]
+            for i, k in zip(part, keys([texts.iloc[i] for i in part])):
+                out[i] = k
+        return pd.Series(out, dtype=object)
 
     return of(signature)
 
@@ -109,7 +128,7 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     write = lambda df: scratch.write(df, f"table-{next(names)}")
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(signature), F.lit("")).alias("s"))
     exact = write(named.where(F.length("s") >= 80).groupBy("s").agg(F.min("id").alias("id")).select("id", "s"))
-    proposed = F.concat(_minhash(F.col("s"), bands, rows, 8), F.when((F.length("s") < 250) | F.col("s").rlike(r"[^\x00-\u024F]"), _minhash(F.col("s"), 2 * bands, rows, 5)).otherwise(F.array().cast("array<long>")))
+    proposed = F.concat(_minhash(F.col("s"), bands, rows, 8), _minhash(F.when((F.length("s") < 250) | F.col("s").rlike(r"[^\x00-\u024F]"), F.col("s")), 2 * bands, rows, 5))
     members = exact.select("id", F.explode(proposed).alias("key"))
     shared = lambda m: m.join(m.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").drop("top"), "key")
 
@@ -124,13 +143,15 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
             out.append(known[i].like(n))
         return pd.Series(out, dtype=bool)
 
+    # comparisons cost milliseconds a row, so adaptive execution, which counts bytes, must not gather them in a few tasks
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     members, gone = write(shared(write(members))), None
     for _ in range(rounds):
         if members.isEmpty():
             break
         first = members.groupBy("id").agg(F.min("low").alias("least")).where("id = least").select(F.col("id").alias("low"))
         pairs = members.where("low < id").select("id", "low").distinct().join(first, "low", "left_semi")
-        pairs = pairs.join(exact, "id").join(exact.select(F.col("id").alias("low"), F.col("s").alias("old")), "low").repartition("low", F.pmod("id", F.lit(64))).sortWithinPartitions("low")
+        pairs = pairs.join(exact, "id").join(exact.select(F.col("id").alias("low"), F.col("s").alias("old")), "low").repartition(parts, "low", F.pmod("id", F.lit(64))).sortWithinPartitions("low")
         fell = write(pairs.where(alike("s", "low", "old")).select("id").distinct())
         gone = fell if gone is None else gone.unionByName(fell)
         done = fell.unionByName(first.withColumnRenamed("low", "id"))
@@ -152,6 +173,6 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
         return pd.DataFrame(out, columns=["low", "id"])
 
     id_type = dict(named.dtypes)["id"]
-    lost = _in_order(units.groupBy("key", "bi", "bj").applyInPandas(unit, f"low {id_type}, id {id_type}").distinct(), write)
+    lost = _in_order(units.repartition(parts, "key", "bi", "bj").groupBy("key", "bi", "bj").applyInPandas(unit, f"low {id_type}, id {id_type}").distinct(), write)
     lost = lost if gone is None else lost.unionByName(gone)
     return scratch.keep(exact.select("id").join(lost, "id", "left_anti").unionByName(named.where(F.length("s") < 80).select("id")))

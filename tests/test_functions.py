@@ -179,3 +179,39 @@ def test_text_pages_equal_plain_rules():
             sigs.append(sig)
         assert readable.read_text("https://e.com/", text)["text"] == "\n\n".join(kept)
     assert compared > 100 and dropped > 0
+
+
+def test_reaches_decides_as_the_whole_ratio_in_fewer_steps():
+    import random
+    from difflib import SequenceMatcher
+
+    from siftwood.functions import similar
+
+    rng, steps = random.Random(9), [0, 0]
+
+    class Counted(SequenceMatcher):
+        def find_longest_match(self, *a):
+            steps[self.early] += 1
+            return super().find_longest_match(*a)
+
+    for trial in range(300):
+        letters = rng.choice(("ab", "abcdefghijklmnopqrstuvwxyz0123456789"))
+        old = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 90, 300, 800))))
+        new = "".join(rng.choice(letters) if rng.random() < rng.choice((0.01, 0.05, 0.12)) else c for c in old)[rng.randrange(20) :]
+        m = Counted(None, new, old)
+        m.early = 1
+        t = rng.choice((0.9, 0.92))
+        got = similar.reaches(m, t)
+        m.early = 0
+        assert got == (m.ratio() >= t)
+    assert steps[1] < steps[0]
+
+
+def test_minhash_of_many_equals_each_alone_and_skips_null(spark):
+    from siftwood.operators.dedup import _minhash
+
+    rows = [(i, None if i % 7 == 3 else chr(97 + i % 26) * 5 + "é日" * (i % 40) + "".join(chr(97 + (i * k) % 23) for k in range(20 + i))) for i in range(100)]
+    df = spark.createDataFrame(rows, "i long, s string").coalesce(1)
+    many = {r["i"]: r["k"] for r in df.select("i", _minhash(F.col("s"), 4, 3, 8).alias("k")).collect()}
+    alone = {r["i"]: r["k"] for r in df.repartition(50, "i").select("i", _minhash(F.col("s"), 4, 3, 8).alias("k")).collect()}
+    assert many == alone and all(len(k) == (0 if s is None else 4) for (_, s), k in zip(rows, (many[i] for i, _ in rows)))
