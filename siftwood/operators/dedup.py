@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from itertools import count
+from itertools import count, pairwise
 from operator import and_
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwood.functions.similar import Seen
+from siftwood.functions.similar import Matcher, Seen, reaches
 from siftwood.functions.text import text_signature
 from siftwood.session import ensure_importable
 from siftwood.storage import Scratch
@@ -61,8 +61,8 @@ def dedup_docs(docs: DataFrame, query: str, url: str, signature: str, pos: str,
     return docs.groupBy(query).applyInArrow(keep, docs.schema)
 
 
-#: Signatures hashed at once, whose shingles stay in cache.
-_AT_ONCE = 32
+#: Characters of the signatures hashed at once, whose shingles stay in cache.
+_AT_ONCE = 1 << 15
 
 
 def _minhash(signature: Column, bands: int, rows: int, shingle: int) -> Column:
@@ -95,8 +95,8 @@ def _minhash(signature: Column, bands: int, rows: int, shingle: int) -> Column:
     def of(texts: pd.Series) -> pd.Series:
         given = [i for i, s in enumerate(texts) if s is not None]
         out: list = [[]] * len(texts)
-        for at in range(0, len(given), _AT_ONCE):
-            part = given[at : at + _AT_ONCE]
+        slices = np.cumsum([len(texts.iloc[i]) for i in given]) // _AT_ONCE
+        for part in np.split(np.array(given, int), np.flatnonzero(np.diff(slices)) + 1) if given else ():
             for i, k in zip(part, keys([texts.iloc[i] for i in part])):
                 out[i] = k
         return pd.Series(out, dtype=object)
@@ -104,6 +104,71 @@ def _minhash(signature: Column, bands: int, rows: int, shingle: int) -> Column:
     return of(signature)
 
 
+def _sharing(low: object, keys: list[np.ndarray], lows: list[np.ndarray]) -> np.ndarray:
+    """Which items, the first before the second, share a key whose bucket `low` leads and none with a smaller leader."""
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    leads = np.concatenate(lows)
+    flat, owner, leads = flat[leads <= low], owner[leads <= low], leads[leads <= low]
+    order = np.lexsort((flat, -leads))  # smaller leaders come last and take their pairs away
+    flat, owner, leads = flat[order], owner[order], leads[order]
+    ends = np.append(np.flatnonzero((flat[1:] != flat[:-1]) | (leads[1:] != leads[:-1])) + 1, len(flat))
+    out, begin = np.zeros((len(keys), len(keys)), bool), 0
+    for end in ends:
+        if end - begin > 1:
+            out[np.ix_(owner[begin:end], owner[begin:end])] = leads[begin] == low
+        begin = end
+    return np.triu(out, 1)
+
+
+def _links(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (low, id) that are alike, of rows that come unit by unit and in order of id: each pair in the group of its smallest shared leader alone.
+
+    Lengths and letters (in 512 classes) reject most pairs of a unit at once, by the bounds that `Seen` has.
+    """
+
+    def linked(unit: pa.Table) -> pa.RecordBatch:
+        ids, own, texts = unit["id"], unit["own"].to_numpy(), unit["s"].to_pylist()
+        out = _sharing(unit["low"][0].as_py(), *([x.values.to_numpy() for x in unit[c].combine_chunks()] for c in ("keys", "lows")))
+        if unit["bi"][0] != unit["bj"][0]:
+            out &= own[:, None] != own
+        x, y = np.nonzero(out)
+        size = np.array([len(s) for s in texts])
+        near = 2 * np.minimum(size[x], size[y]) >= threshold * (size[x] + size[y])
+        x, y = x[near], y[near]
+        named = np.unique(np.concatenate((x, y)))
+        letters = np.array([np.bincount(np.frombuffer(texts[i].encode("utf-32-le"), np.uint32) & 511, minlength=512) for i in named], np.int32).reshape(-1, 512)
+        gone = np.zeros(len(x), bool)
+        for at in range(0, len(x), 4096):
+            cut = slice(at, at + 4096)
+            common = np.minimum(letters[np.searchsorted(named, x[cut])], letters[np.searchsorted(named, y[cut])]).sum(1)
+            gone[cut] = 2 * common < threshold * (size[x[cut]] + size[y[cut]])
+        x, y, matcher, of = x[~gone], y[~gone], Matcher(""), -1
+        alike = np.zeros(len(x), bool)
+        for at, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+            if i != of:
+                matcher, of = Matcher(texts[i]), i
+            matcher.set_seq1(texts[j])
+            alike[at] = reaches(matcher, threshold)
+        ids = ids.combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x[alike])), ids.take(pa.array(y[alike]))], ["low", "id"])
+
+    held: list[pa.Table] = []
+    names = ("low", "bi", "bj")
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        units = list(zip(*(table[c].to_pylist() for c in names)))
+        cuts = [0, *(i for i in range(1, len(units)) if units[i] != units[i - 1]), len(units)]
+        for begin, end in pairwise(cuts):
+            if held and units[begin] != tuple(held[-1][c][0].as_py() for c in names):
+                yield linked(pa.concat_tables(held))
+                held = []
+            held.append(table.slice(begin, end - begin))
+    if held:
+        yield linked(pa.concat_tables(held))
+
+
 def _in_order(edges: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Ids that fall when ids are taken in order and each kept one drops its later neighbours. edges: low < id."""
     edges, gone = write(edges), None
@@ -121,16 +186,20 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     Signatures below 80 characters are never copies. Exact copies go first. MinHash proposes the rest: 32 bands of 3 over 8-character shingles and, for
     signatures below 250 characters or beyond Latin letters, where a ratio of 0.9 leaves room for more edits, 64 bands over 5-character ones. In each of the first
     rounds, ids that come first in all of their buckets are kept and compared with the rest of these, so a group of m near copies costs m
-    comparisons. What is left then is compared pair by pair: a bucket is dealt into blocks, each pair of blocks is one unit.
+    comparisons. What is left then is compared pair by pair, once each: the ids whose buckets one id leads are dealt into blocks, each pair of blocks is one unit.
     Only pairs that share no bucket are missed. The tables between rounds are written to the shared folder, which cuts their plans.
     """
     scratch, names = Scratch(docs.sparkSession, "dedup_corpus"), count()
     write = lambda df: scratch.write(df, f"table-{next(names)}")
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(signature), F.lit("")).alias("s"))
-    exact = write(named.where(F.length("s") >= 80).groupBy("s").agg(F.min("id").alias("id")).select("id", "s"))
+    # one pass over the texts: exact copies become one row, short rows stay as many as they are
+    single = F.when(F.length("s") < 80, F.col("id"))
+    texts = write(named.groupBy("s", single.alias("own")).agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "s", "n", (F.length("s") < 80).alias("short")))
+    exact = texts.where("not short").select("id", "s")
     proposed = F.concat(_minhash(F.col("s"), bands, rows, 8), _minhash(F.when((F.length("s") < 250) | F.col("s").rlike(r"[^\x00-\u024F]"), F.col("s")), 2 * bands, rows, 5))
-    members = exact.select("id", F.explode(proposed).alias("key"))
-    shared = lambda m: m.join(m.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").drop("top"), "key")
+    members = exact.select("id", F.length("s").alias("size"), F.explode(proposed).alias("key"))
+    shared = lambda m: m.join(m.groupBy("key").agg(F.min("id").alias("low"), F.min_by("size", "id").alias("low_size"), F.max("id").alias("top")).where("low < top").drop("top"), "key")
+    of_like_size = 2 * F.least("size", "low_size") >= F.lit(threshold) * (F.col("size") + F.col("low_size"))  # before any text is moved
 
     @F.pandas_udf("boolean")
     def alike(new: pd.Series, low: pd.Series, old: pd.Series) -> pd.Series:
@@ -150,29 +219,20 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
         if members.isEmpty():
             break
         first = members.groupBy("id").agg(F.min("low").alias("least")).where("id = least").select(F.col("id").alias("low"))
-        pairs = members.where("low < id").select("id", "low").distinct().join(first, "low", "left_semi")
+        pairs = members.where("low < id").where(of_like_size).select("id", "low").distinct().join(first, "low", "left_semi")
         pairs = pairs.join(exact, "id").join(exact.select(F.col("id").alias("low"), F.col("s").alias("old")), "low").repartition(parts, "low", F.pmod("id", F.lit(64))).sortWithinPartitions("low")
         fell = write(pairs.where(alike("s", "low", "old")).select("id").distinct())
         gone = fell if gone is None else gone.unionByName(fell)
         done = fell.unionByName(first.withColumnRenamed("low", "id"))
-        members = write(shared(members.select("key", "id").join(done, "id", "left_anti")))
-
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    left = members.select("key", "id").join(members.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "id", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")).join(exact, "id")
-
-    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        crossed = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-        out, before = [], []
-        for i, own, s in zip(pdf["id"], pdf["own"], pdf["s"]):
-            out += [(j, i) for j, o, seen in before if not (crossed and o == own) and seen.like(s)]
-            seen = Seen(threshold)
-            seen.add(s)
-            before.append((i, own, seen))
-        return pd.DataFrame(out, columns=["low", "id"])
+        members = write(shared(members.select("key", "id", "size").join(done, "id", "left_anti")))
+
+    shares = members.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list("low").alias("lows"))
+    sizes = members.select("id", "low").distinct().groupBy("low").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    units = shares.withColumn("low", F.explode(F.array_distinct("lows"))).join(sizes, "low").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    units = units.select("low", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "own", "keys", "lows").join(exact, "id")
 
     id_type = dict(named.dtypes)["id"]
-    lost = _in_order(units.repartition(parts, "key", "bi", "bj").groupBy("key", "bi", "bj").applyInPandas(unit, f"low {id_type}, id {id_type}").distinct(), write)
+    units = units.repartition(parts, "low", "bi", "bj").sortWithinPartitions("low", "bi", "bj", "id")
+    lost = _in_order(units.mapInArrow(lambda batches: _links(batches, threshold), f"low {id_type}, id {id_type}"), write)
     lost = lost if gone is None else lost.unionByName(gone)
-    return scratch.keep(exact.select("id").join(lost, "id", "left_anti").unionByName(named.where(F.length("s") < 80).select("id")))
+    return scratch.keep(exact.select("id").join(lost, "id", "left_anti").unionByName(texts.where("short").select(F.explode(F.array_repeat("id", F.col("n").cast("int"))).alias("id"))))

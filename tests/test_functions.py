@@ -207,6 +207,49 @@ def test_reaches_decides_as_the_whole_ratio_in_fewer_steps():
     assert steps[1] < steps[0]
 
 
+def test_matcher_finds_the_matches_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    from siftwood.functions.similar import Matcher, reaches
+
+    rng, popular = random.Random(3), 0
+    for trial in range(600):
+        letters = rng.choice(("ab", "abcdefghijklmnopqrstuvwxyz0123456789", "^-]\\[ab", "eeeeeeeetttttaaaaooovvkq", "".join(chr(0x4E00 + i) for i in range(300))))
+        b = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 90, 199, 200, 300, 1500))))
+        a = "".join(rng.choice(letters) if rng.random() < rng.choice((0.01, 0.1, 0.5)) else c for c in b)[rng.randrange(20) :]
+        plain, mine = SequenceMatcher(None, a, b), Matcher(b)
+        mine.set_seq1(a)
+        popular += bool(plain.bpopular)
+        for _ in range(5):
+            (alo, ahi), (blo, bhi) = (sorted(rng.randint(0, len(x)) for _ in range(2)) for x in (a, b))
+            assert mine.find_longest_match(alo, ahi, blo, bhi) == tuple(plain.find_longest_match(alo, ahi, blo, bhi))
+        assert reaches(mine, 0.9) == (plain.ratio() >= 0.9)
+    assert popular > 100
+
+
+def test_links_judge_each_pair_of_a_shared_bucket_once():
+    import random
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from siftwood.functions.similar import ratio
+    from siftwood.operators.dedup import _links
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(150))] * 30
+    texts = ["".join(rng.choice("xyz") if rng.random() < 0.04 else c for c in t) for t in texts] + ["".join(rng.choice("abcd") for _ in range(150)) for _ in range(10)]
+    buckets = [sorted(rng.sample(range(40), rng.randrange(2, 25))) for _ in range(20)]
+    held = {i: [(k, b[0]) for k, b in enumerate(buckets) if i in b] for i in range(40)}
+    rows, want = [], {(x, y) for b in buckets for x, y in combinations(b, 2) if ratio(texts[y], texts[x]) >= 0.9}
+    for low in sorted({b[0] for b in buckets}):  # two blocks by parity, so three units a leader
+        for bi, bj in ((0, 0), (0, 1), (1, 1)):
+            rows += [{"low": low, "bi": bi, "bj": bj, "id": i, "own": i % 2, "keys": [k for k, _ in held[i]], "lows": [x for _, x in held[i]], "s": texts[i]} for i in range(40) if i % 2 in (bi, bj) and any(x == low for _, x in held[i])]
+    got = [(r["low"], r["id"]) for out in _links(pa.Table.from_pylist(rows).to_batches(max_chunksize=7), 0.9) for r in out.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_minhash_of_many_equals_each_alone_and_skips_null(spark):
     from siftwood.operators.dedup import _minhash
 
