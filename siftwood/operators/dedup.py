@@ -194,12 +194,12 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(signature), F.lit("")).alias("s"))
     # one pass over the texts: exact copies become one row, short rows stay as many as they are
     single = F.when(F.length("s") < 80, F.col("id"))
-    texts = write(named.groupBy("s", single.alias("own")).agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "s", "n", (F.length("s") < 80).alias("short")))
-    exact = texts.where("not short").select("id", "s")
+    texts = write(named.groupBy("s", single.alias("own")).agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "s", "n", F.length("s").alias("size")))
+    exact, sizes = (texts.where("size >= 80").select("id", c) for c in ("s", "size"))
     proposed = F.concat(_minhash(F.col("s"), bands, rows, 8), _minhash(F.when((F.length("s") < 250) | F.col("s").rlike(r"[^\x00-\u024F]"), F.col("s")), 2 * bands, rows, 5))
-    members = exact.select("id", F.length("s").alias("size"), F.explode(proposed).alias("key"))
-    shared = lambda m: m.join(m.groupBy("key").agg(F.min("id").alias("low"), F.min_by("size", "id").alias("low_size"), F.max("id").alias("top")).where("low < top").drop("top"), "key")
-    of_like_size = 2 * F.least("size", "low_size") >= F.lit(threshold) * (F.col("size") + F.col("low_size"))  # before any text is moved
+    members = exact.select("id", F.explode(proposed).alias("key"))
+    shared = lambda m: m.join(m.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").drop("top"), "key")
+    of_like_size = 2 * F.least("size", "low_size") >= F.lit(threshold) * (F.col("size") + F.col("low_size"))
 
     @F.pandas_udf("boolean")
     def alike(new: pd.Series, low: pd.Series, old: pd.Series) -> pd.Series:
@@ -219,20 +219,21 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
         if members.isEmpty():
             break
         first = members.groupBy("id").agg(F.min("low").alias("least")).where("id = least").select(F.col("id").alias("low"))
-        pairs = members.where("low < id").where(of_like_size).select("id", "low").distinct().join(first, "low", "left_semi")
+        pairs = members.where("low < id").select("id", "low").distinct().join(first, "low", "left_semi")
+        pairs = pairs.join(sizes, "id").join(sizes.toDF("low", "low_size"), "low").where(of_like_size).select("id", "low")  # before any text is moved
         pairs = pairs.join(exact, "id").join(exact.select(F.col("id").alias("low"), F.col("s").alias("old")), "low").repartition(parts, "low", F.pmod("id", F.lit(64))).sortWithinPartitions("low")
         fell = write(pairs.where(alike("s", "low", "old")).select("id").distinct())
         gone = fell if gone is None else gone.unionByName(fell)
         done = fell.unionByName(first.withColumnRenamed("low", "id"))
-        members = write(shared(members.select("key", "id", "size").join(done, "id", "left_anti")))
+        members = write(shared(members.select("key", "id").join(done, "id", "left_anti")))
 
     shares = members.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list("low").alias("lows"))
-    sizes = members.select("id", "low").distinct().groupBy("low").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    units = shares.withColumn("low", F.explode(F.array_distinct("lows"))).join(sizes, "low").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = members.select("id", "low").distinct().groupBy("low").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    units = shares.withColumn("low", F.explode(F.array_distinct("lows"))).join(blocks, "low").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = units.select("low", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "own", "keys", "lows").join(exact, "id")
 
     id_type = dict(named.dtypes)["id"]
     units = units.repartition(parts, "low", "bi", "bj").sortWithinPartitions("low", "bi", "bj", "id")
     lost = _in_order(units.mapInArrow(lambda batches: _links(batches, threshold), f"low {id_type}, id {id_type}"), write)
     lost = lost if gone is None else lost.unionByName(gone)
-    return scratch.keep(exact.select("id").join(lost, "id", "left_anti").unionByName(texts.where("short").select(F.explode(F.array_repeat("id", F.col("n").cast("int"))).alias("id"))))
+    return scratch.keep(exact.select("id").join(lost, "id", "left_anti").unionByName(texts.where("size < 80").select(F.explode(F.array_repeat("id", F.col("n").cast("int"))).alias("id"))))
