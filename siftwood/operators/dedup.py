@@ -190,7 +190,7 @@ def dedup_corpus(docs: DataFrame, id_col: str, signature: str, threshold: float
     Only pairs that share no bucket are missed. The tables between rounds are written to the shared folder, which cuts their plans.
     """
     scratch, names = Scratch(docs.sparkSession, "dedup_corpus"), count()
-    write = lambda df: scratch.write(df, f"table-{next(names)}")
+    write = lambda df: scratch.write(df, f"table-{next(names)}", free=True)
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(signature), F.lit("")).alias("s"))
     # one pass over the texts: exact copies become one row, short rows stay as many as they are
     single = F.when(F.length("s") < 80, F.col("id"))
